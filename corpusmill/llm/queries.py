@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import chat_format, exact_dedup, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_chat_format": chat_format.op6_chat_format,
 }
 
 ORACLES = {
+    "op1_url_filter": url_filter.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
 }
