@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, url_filter
+from . import chat_format, exact_dedup, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 
 ORACLES = {
