@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +34,33 @@ def text_or_empty(name: str) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class BitFilter:
+    """Which 64-bit keys may be in a set: two bits each in an array of at most ``MAX_BITS`` bits (8 MB).
+
+    The size bound holds for any set; a set that is too large for it only makes the filter
+    pass more keys, so what it passes must be joined exactly afterwards.
+    """
+
+    MIN_BITS, MAX_BITS = 1 << 10, 1 << 26
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def build(keys: DataFrame, key: str, count: int) -> BitFilter:
+        bits = min(BitFilter.MAX_BITS, max(BitFilter.MIN_BITS, 1 << (16 * max(count, 1) - 1).bit_length()))
+        k = F.col(key)
+        at = F.explode(F.array(k.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(k, 32).bitwiseAND(F.lit(bits - 1))))
+        rows = keys.select(at.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_p & 63 as int)))").alias("_m")).toArrow()
+        words = np.zeros(bits // 64, np.uint64)
+        words[rows["_w"].to_numpy()] = rows["_m"].to_numpy().astype(np.int64).view(np.uint64)
+        return BitFilter(words)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        k, last = keys.view(np.uint64), np.uint64(len(self.words) * 64 - 1)
+        ok = np.ones(len(k), bool)
+        for p in (k & last, (k >> np.uint64(32)) & last):
+            ok &= (self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+        return ok

@@ -33,13 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import BitFilter, cut, table, text_or_empty
 from .words import Powers, Rolling, U, WordHashes, split, utf8, window_min
 
-WINDOW, ANCHOR, BLOCK = 35, 14, 1 << 18
+WINDOW, ANCHOR, BLOCK = 35, 20, 1 << 18
+#: Documents whose segments are added up before they are shuffled.
+CHUNK = 2000
 #: A segment is hot from this many occurrences, and from a thousandth of all segments: at most 1,000 such segments exist.
 HOT_ROWS, HOT_SHARE = 1000, 1000
 _LOW = U((1 << 20) - 1)
@@ -65,25 +67,40 @@ def segments_of(hashes: np.ndarray, powers: Powers, window: int = WINDOW, anchor
 
 
 def _segments(window: int, anchor: int):
+    """Counted segments (anchor, segment, times, row): added up over some documents, with the least row that has one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, powers = WordHashes(), Powers()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                rows, size = [], []
-                for text in utf8(part["text"]):
-                    rows.append(segments_of(cache.of(split(text)), powers, window, anchor))
-                    size.append(len(rows[-1][0]))
-                a, s, first, n = (np.concatenate(x) for x in zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part["row"].to_numpy(), size)), pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["row", "anchor", "segment", "first", "n"],
-                )
+            for lo in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(lo, CHUNK)
+                found = [segments_of(cache.of(split(text)), powers, window, anchor) for text in utf8(part["text"])]
+                a, s = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                row = np.repeat(part["row"].to_numpy(), [len(f[0]) for f in found])
+                order = np.lexsort((row, s, a))
+                a, s, row = a[order], s[order], row[order]
+                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])])) if len(a) else np.empty(0, np.int64)
+                times = np.diff(np.append(first, len(a)))
+                yield pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(s[first].view(np.int64)), pa.array(times), pa.array(row[first])], ["anchor", "segment", "times", "row"])
 
     return run
 
 
-def _windows(window: int):
+def _chosen(may: BitFilter, key: str):
+    """Rows whose key may be in the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may(batch[key].to_numpy())))
+
+    return run
+
+
+def _pair(anchor: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    return anchor * U(3) ^ segment
+
+
+def _windows(window: int, anchor: int):
     """From texts with the segments to expand: their windows' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,14 +111,56 @@ def _windows(window: int):
                 part = batch.slice(lo, 100)
                 out = [[], [], [], []]
                 for text, todo in zip(utf8(part["text"]), part["todo"].to_pylist()):
-                    rolling = Rolling(cache.of(split(text)), powers)
-                    for seg in todo:
-                        at = seg["first"] + np.arange(seg["n"])
-                        out[0].append(np.full(seg["n"], seg["anchor"], np.int64))
-                        out[1].append(np.full(seg["n"], seg["segment"], np.int64))
-                        out[2].append(np.arange(seg["n"], dtype=np.int32))
-                        out[3].append(rolling.runs(at, at + window).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+                    hashes = cache.of(split(text))
+                    rolling = Rolling(hashes, powers)
+                    wanted = {(t["anchor"], t["segment"]) for t in todo}
+                    a, s, first, n = segments_of(hashes, powers, window, anchor)
+                    for x in zip(a.view(np.int64).tolist(), s.view(np.int64).tolist(), first.tolist(), n.tolist()):
+                        if x[:2] in wanted:
+                            wanted.discard(x[:2])
+                            at = x[2] + np.arange(x[3])
+                            out[0].append(np.full(x[3], x[0], np.int64))
+                            out[1].append(np.full(x[3], x[1], np.int64))
+                            out[2].append(np.arange(x[3], dtype=np.int32))
+                            out[3].append(rolling.runs(at, at + window).view(np.int64))
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+
+    return run
+
+
+def _occurrences(window: int, anchor: int, may: BitFilter):
+    """Every occurrence of a segment that may be marked: (row, anchor, segment, first, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, powers = WordHashes(), Powers()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(lo, CHUNK)
+                found = [segments_of(cache.of(split(text)), powers, window, anchor) for text in utf8(part["text"])]
+                row = np.repeat(part["row"].to_numpy(), [len(f[0]) for f in found])
+                a, s, first, n = (np.concatenate([f[k] for f in found]) for k in range(4))
+                ok = may(_pair(a, s))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row[ok]), pa.array(a[ok].view(np.int64)), pa.array(s[ok].view(np.int64)), pa.array(first[ok].astype(np.int32)), pa.array(n[ok].astype(np.int32))],
+                    ["row", "anchor", "segment", "first", "n"],
+                )
+
+    return run
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, s = (batch[c].to_numpy().view(U) for c in ("anchor", "segment"))
+        yield pa.RecordBatch.from_arrays([pa.array(_pair(a, s).view(np.int64))], ["pair"])
+
+
+def _flagged(may: BitFilter):
+    """Adds ``maybe``: whether the row may have repeated windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may(batch["row"].to_numpy()))], [*batch.schema.names, "maybe"])
 
     return run
 
@@ -145,32 +204,36 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     texts = source.withColumn("row", F.xxhash64("doc_id", "text"))  # equal rows share a key, and a result
-    seg = cut(texts.select("row", "text").mapInArrow(_segments(window, anchor), "row long, anchor long, segment long, first int, n int"))
-    total = seg.count()
-
-    groups = seg.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "n")).alias("at"))
-    groups = cut(groups.where("times > 1").unionByName(
-        groups.where("times = 1").join(groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"), "anchor", "left_semi")
-    ))
-    several = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
-    todo = groups.join(several, "anchor", "left_semi").select("at.row", F.struct("anchor", "segment", "at.first", "at.n").alias("todo"))
-    todo = todo.groupBy("row").agg(F.collect_list("todo").alias("todo"))  # at most a document's segments
-
-    by_row = texts.select("row", "doc_id", "text")
-    expanded = by_row.join(todo, "row").dropDuplicates(["row"]).select("text", "todo").mapInArrow(_windows(window), "anchor long, segment long, offset int, hash long")
-    expanded = cut(expanded)
+    bare = texts.select("row", "text")
+    seg = bare.mapInArrow(_segments(window, anchor), "anchor long, segment long, times long, row long").repartition(F.col("anchor"))
+    groups = seg.groupBy("anchor", "segment").agg(F.sum("times").alias("times"), F.min("row").alias("row"))
+    groups = groups.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("times > 1 or kinds > 1")
+    groups = cut(groups.withColumn("several", F.col("kinds") > 1).drop("kinds"))
+
+    todo = groups.where("several").select("row", F.struct("anchor", "segment").alias("todo")).groupBy("row").agg(F.collect_list("todo").alias("todo"))
+    todo = cut(todo)  # a row holds at most one document's segments
+    may = BitFilter.build(todo, "row", todo.count())
+    some = bare.mapInArrow(_chosen(may, "row"), "row long, text string")
+    expanded = cut(some.join(todo, "row").dropDuplicates(["row"]).select("text", "todo").mapInArrow(_windows(window, anchor), "anchor long, segment long, offset int, hash long"))
     twice = expanded.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     partly = expanded.join(twice, ["anchor", "hash"], "left_semi").groupBy("anchor", "segment").agg(F.collect_set("offset").alias("offsets"))
 
     full = F.col("times") > 1
-    marked = groups.join(partly, ["anchor", "segment"], "left").where(full | F.col("offsets").isNotNull())
+    marked = groups.where(full | F.col("several")).join(partly, ["anchor", "segment"], "left").where(full | F.col("offsets").isNotNull())
     marked = cut(marked.select("anchor", "segment", "times", F.when(~full, F.col("offsets")).alias("offsets")))
-    hot = F.col("times") >= max(HOT_ROWS, total // HOT_SHARE)
-    first = seg.join(F.broadcast(marked.where(hot)), ["anchor", "segment"], "left")
+    total, count = marked.agg(F.sum("times"), F.count(F.lit(1))).first()
+    may = BitFilter.build(marked.mapInArrow(_pairs, "pair long"), "pair", count)
+    found = bare.mapInArrow(_occurrences(window, anchor, may), "row long, anchor long, segment long, first int, n int")
+    hot = F.col("times") >= max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    first = found.join(F.broadcast(marked.where(hot)), ["anchor", "segment"], "left")
     rest = first.where("times is null").drop("times", "offsets").join(marked.where(~hot), ["anchor", "segment"])
     hits = first.where("times is not null").unionByName(rest)
-    marks = hits.groupBy("row").agg(F.collect_set(F.struct("first", "n", "offsets")).alias("marks"))
-    return by_row.join(marks, "row", "left").select("doc_id", "text", "marks").mapInArrow(
+    marks = cut(hits.groupBy("row").agg(F.collect_set(F.struct("first", "n", "offsets")).alias("marks")))
+    may = BitFilter.build(marks, "row", marks.count())
+    hit = texts.mapInArrow(_flagged(may), f"doc_id {kind}, text string, row long, maybe boolean")
+    cut_docs = hit.where("maybe").join(marks, "row", "left").select("doc_id", "text", "marks")
+    clear = hit.where("not maybe").select("doc_id", "text", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
+    return clear.unionByName(cut_docs).mapInArrow(
         _cut_out(window), f"doc_id {kind}, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>"
     )
 
