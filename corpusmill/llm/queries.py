@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, substring_dedup, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, html_extract, ngram_join, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 ORACLES = {
