@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, substring_dedup, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, piece_sampling, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_piece_sampling": piece_sampling.op2_piece_sampling,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_html_extract": html_extract.op4_html_extract,
     "op5_line_dedup": line_dedup.op5_line_dedup,
