@@ -45,7 +45,7 @@ def references(df: DataFrame, source: str, ids: list[str], doi: str = "doi") ->
 
 def text_tree(spark: SparkSession, path: str, suffix: str = ".md") -> DataFrame:
     """(doc_id, file_path, text) of all files below a folder."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{suffix}")
     name = F.regexp_replace(F.col("_metadata.file_name"), f"\\Q{suffix}\\E$", "")
     return files.select(name.alias("doc_id"), F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
 
