@@ -41,8 +41,9 @@ OPEN, CLOSE = "<|turn:", "<|end|>"
 #: Control strings of common chat formats, escaped inside texts besides this template's own.
 CONTROLS = [OPEN, CLOSE, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "</s>"]
 _CONTROL = re.compile("|".join(re.escape(x) for x in CONTROLS))
+_BARLESS = re.compile("|".join(re.escape(x) for x in CONTROLS if "|" not in x))
 _UNESCAPE = re.compile(r"\\(\\?)")
-_TURN = re.compile(r"<\|turn:(.*?)\|>\n(.*)<\|end\|>\n", re.S)
+_TURN = re.compile(r"<\|turn:((?:\\.|[^\\|])*)\|>\n(.*)<\|end\|>\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -54,13 +55,18 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
+def escape_role(role: str) -> str:
+    """As :func:`escape`, with a backslash before every bar, so that the first bare bar ends the role."""
+    return _BARLESS.sub(lambda m: m[0][0] + "\\" + m[0][1:], role.replace("\\", "\\\\").replace("|", "\\|"))
+
+
 def turn_template(turns: Turns) -> str:
-    return "".join(f"{OPEN}{escape(role).replace('|', chr(92) + '|')}|>\n{escape(text)}{CLOSE}\n" for role, text in turns)
+    return "".join(f"{OPEN}{escape_role(role)}|>\n{escape(text)}{CLOSE}\n" for role, text in turns)
 
 
 def parse_turn(segment: str) -> tuple[str, str]:
     """Role and text of one turn of :func:`turn_template`."""
-    m = re.fullmatch(r"<\|turn:((?:\\.|[^\\|])*)\|>\n(.*)<\|end\|>\n", segment, re.S)
+    m = _TURN.fullmatch(segment)
     if m is None:
         raise ValueError("not a turn of this template")
     return unescape(m[1]), unescape(m[2])

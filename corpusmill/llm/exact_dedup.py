@@ -126,13 +126,13 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     decisions, words, bits = _run(docs, id_col, text_col)
     decisions = cut(decisions.where("_size > 1"))
     gone = decisions.groupBy("_id", "_sha").agg(F.expr("bool_or(_kept)").alias("_stays"), F.count(F.lit(1)).alias("_n"))
-    seen = flag_possible_repeats(docs.withColumn("_sha", normalised_sha256(text_col)), "_sha", words, bits)
-    maybe = seen.where("_maybe").drop("_maybe")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), normalised_sha256(text_col).alias("_sha"))
+    seen = flag_possible_repeats(packed, "_sha", words, bits)
     at = gone.select(F.col("_id").alias("_gone_id"), F.col("_sha").alias("_gone_sha"), "_stays", "_n")
-    met = maybe.join(at, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha")), "left")
-    once = met.where("_n is null or (_stays and _n = 1)").select(*docs.columns)
-    again = met.where("_stays and _n > 1").dropDuplicates(["_gone_id", "_sha"]).select(*docs.columns)
-    return seen.where(~F.col("_maybe")).select(*docs.columns).unionByName(once).unionByName(again)
+    met = seen.where("_maybe").join(at, F.col("id").eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha")), "left")
+    once = met.where("_n is null or (_stays and _n = 1)")
+    again = met.where("_stays and _n > 1").dropDuplicates(["_gone_id", "_sha"])
+    return seen.where(~F.col("_maybe")).select("row.*").unionByName(once.select("row.*")).unionByName(again.select("row.*"))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

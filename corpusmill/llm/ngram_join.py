@@ -336,21 +336,21 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     out = cut(near_duplicates(docs, id_col, text_col).where("n_links > 0"))
     may = BitFilter.build(out.select(F.xxhash64("doc_id").alias("k")), "k", out.count())
-    names = docs.columns
-    flagged = docs.withColumn("_maybe", F.lit(False)).withColumn("_k", F.xxhash64(id_col)).mapInArrow(_mark(may), docs.withColumn("_maybe", F.lit(False)).withColumn("_k", F.xxhash64(id_col)).schema)
-    gone = out.groupBy("doc_id").agg(F.first("class_id").alias("_class"), F.count(F.lit(1)).alias("_n")).withColumnRenamed("doc_id", "_id")
-    met = flagged.where("_maybe").join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    stays = F.col("_n").isNull() | F.col("_id").eqNullSafe(F.col("_class"))
-    once = met.where(stays & (F.coalesce("_n", F.lit(1)) == 1)).select(*names)
-    again = met.where(stays & (F.col("_n") > 1)).dropDuplicates(["_id"]).select(*names)
-    return flagged.where("not _maybe").select(*names).unionByName(once).unionByName(again)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("k"), F.lit(False).alias("maybe"))
+    flagged = packed.mapInArrow(_mark(may), packed.schema)
+    gone = out.groupBy("doc_id").agg(F.first("class_id").alias("class"), F.count(F.lit(1)).alias("n"))
+    met = flagged.where("maybe").join(gone, F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    stays = F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("class"))
+    once = met.where(stays & (F.coalesce("n", F.lit(1)) == 1))
+    again = met.where(stays & (F.col("n") > 1)).dropDuplicates(["doc_id"])
+    return flagged.where("not maybe").select("row.*").unionByName(once.select("row.*")).unionByName(again.select("row.*"))
 
 
 def _mark(may: BitFilter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.schema.get_field_index("_maybe")
-            yield batch.set_column(i, "_maybe", pa.array(may(batch["_k"].to_numpy())))
+            i = batch.schema.get_field_index("maybe")
+            yield batch.set_column(i, batch.schema.field(i), pa.array(may(batch["k"].to_numpy())))
 
     return run
 
