@@ -127,3 +127,44 @@ def error_summary(df: DataFrame, errors: str) -> DataFrame:
 def ids_by_error(df: DataFrame, key: str, errors: str) -> DataFrame:
     flat = df.select(key, F.explode(errors).alias("error")).where("error is not null").distinct()
     return flat.groupBy("error").agg(F.sort_array(F.collect_list(key)).alias("ids"))
+
+
+def presence(df: DataFrame, raw: str) -> DataFrame:
+    """Per key of JSON objects: how often it is there with a value that isn't null, empty, false or zero; pct to four places."""
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    entries = F.explode(F.map_entries(F.from_json(raw, "map<string,string>"))).alias("x")
+    empty = F.coalesce(F.col("x.value"), F.lit("")).isin("", "[]", "{}", "false", "0", "0.0", "null")
+    per = df.select(entries).groupBy(F.col("x.key").alias("key")).agg(F.count_if(~empty).alias("present"))
+    return per.crossJoin(F.broadcast(total)).select("key", "present", F.bround(F.col("present") * 100 / F.col("_n"), 4).alias("pct"))
+
+
+def conjunctions(df: DataFrame, flags: dict[str, Column], together: Sequence[Sequence[str]]) -> DataFrame:
+    """One row of counts: every flag, every named conjunction (a_and_b), and of pairs also either (or) and their sum."""
+    out = [F.count_if(c).alias(k) for k, c in flags.items()]
+    for names in together:
+        cond, either = F.lit(True), F.lit(False)
+        for n in names:
+            cond, either = cond & flags[n], either | flags[n]
+        out.append(F.count_if(cond).alias("_and_".join(names)))
+        if len(names) == 2:
+            out.append(F.count_if(either).alias("_or_".join(names)))
+            out.append((F.count_if(flags[names[0]]) + F.count_if(flags[names[1]])).alias("_or_".join(names) + "_sum"))
+    return df.agg(F.count(F.lit(1)).alias("total"), *out)
+
+
+def population(df: DataFrame, c: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Count, mean, extremes, quartiles (rounded ranks) and upper median of a measure."""
+    base = df.where(c.isNotNull()).select(*by, c.cast("double").alias("_m"))
+    s = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_m"), 6).alias("mean"), F.min("_m").alias("min"), F.max("_m").alias("max"))
+    q = percentiles(base, F.col("_m"), (0.25, 0.5, 0.75), "rounded", by)
+    return s.join(q, list(by)) if by else s.crossJoin(q)
+
+
+def funnel(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """Rows of each stage, in order, and their share of the first."""
+    parts = None
+    for i, (name, df) in enumerate(stages):
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("step"), F.lit(name).alias("stage"), "n")
+        parts = one if parts is None else parts.unionByName(one)
+    first = parts.where("step = 0").select(F.col("n").alias("_first"))
+    return parts.crossJoin(F.broadcast(first)).select("step", "stage", "n", F.bround(F.coalesce(F.try_divide(F.col("n") * 100, "_first"), F.lit(0.0)), 4).alias("pct"))

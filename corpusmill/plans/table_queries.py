@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boolean as B
 from ..functions import evidence as E
+from ..functions import records as R
 from ..functions.years import normalise_year_range
 from ..operators import aggregate as A
 from ..operators import filters as P
@@ -259,3 +260,65 @@ def ids_by_error(t, spark):
 @query("SELECT quantile_cont(o_totalprice, 0.9) AS p90, o_orderpriority FROM orders GROUP BY 2")
 def grouped_percentile(t, spark):
     return A.percentiles(t("orders"), F.col("o_totalprice"), (0.9,), by=["o_orderpriority"])
+
+
+@query("""SELECT 'k' AS key, count(*) FILTER ((props::JSON ->> 'k')::BIGINT <> 0) AS present, round_even(count(*) FILTER ((props::JSON ->> 'k')::BIGINT <> 0) * 100 / count(*)::DOUBLE, 4) AS pct FROM events""")
+def presence_distribution(t, spark):
+    return A.presence(t("events"), "props")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (c_acctbal > 0) AS a, count(*) FILTER (c_nationkey > 12) AS b, count(*) FILTER (c_acctbal > 0 AND c_nationkey > 12) AS a_and_b, count(*) FILTER (c_acctbal > 0 OR c_nationkey > 12) AS a_or_b, count(*) FILTER (c_acctbal > 0) + count(*) FILTER (c_nationkey > 12) AS a_or_b_sum FROM customer")
+def corpus_statistics(t, spark):
+    return A.conjunctions(t("customer"), {"a": F.expr("c_acctbal > 0"), "b": F.expr("c_nationkey > 12")}, [("a", "b")])
+
+
+@query("""WITH s AS (SELECT o_orderstatus, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS r, count(*) OVER (PARTITION BY o_orderstatus) AS c FROM orders)
+SELECT o_orderstatus, count(*) AS n, round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max, max(CASE WHEN r = round_even((c - 1) * 0.25, 0) + 1 THEN v END) AS p25, max(CASE WHEN r = round_even((c - 1) * 0.5, 0) + 1 THEN v END) AS p50, max(CASE WHEN r = round_even((c - 1) * 0.75, 0) + 1 THEN v END) AS p75 FROM s GROUP BY 1""")
+def population_summary(t, spark):
+    return A.population(t("orders"), F.col("o_totalprice"), ["o_orderstatus"])
+
+
+@query("WITH s AS (SELECT 0 AS step, 'all' AS stage, count(*) AS n FROM orders UNION ALL SELECT 1, 'finished', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 2, 'large', count(*) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000) SELECT step, stage, n, round_even(n * 100 / (SELECT n FROM s WHERE step = 0)::DOUBLE, 4) AS pct FROM s")
+def funnel_counts(t, spark):
+    done = t("orders").where("o_orderstatus = 'F'")
+    return A.funnel([("all", t("orders")), ("finished", done), ("large", done.where("o_totalprice > 100000"))])
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN ['q_1: ' || p_name, 'q_2: ' || p_brand] ELSE ['keyword: ' || p_type] END AS lines, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS expected_len, p_size % 2 = 1 AS keywords_only FROM part""")
+def model_inputs(t, spark):
+    even = F.col("p_size") % 2 == 0
+    x = R.model_input(F.when(even, F.array("p_name", "p_brand")).otherwise(F.array(F.lit(" "), F.lit(None).cast("string"))), F.array("p_type"))
+    rows = t("part").select("p_partkey", x.alias("x"))
+    return rows.select("p_partkey", F.transform("x.items", lambda i: F.concat(i["id"], F.lit(": "), i["text"])).alias("lines"), "x.expected_len", "x.keywords_only")
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'JSON_PARSE_ERROR' WHEN 1 THEN 'SCHEMA_VALIDATION_ERROR' END AS error, CASE WHEN p_size % 3 = 2 THEN p_name END AS title FROM part""")
+def parsed_outputs(t, spark):
+    raw = F.when(F.col("p_size") % 3 == 0, "none").when(F.col("p_size") % 3 == 1, '<think>{}</think> {"a": 1}').otherwise(F.concat(F.lit('x {"title": "'), "p_name", F.lit('"} y')))
+    rows = t("part").select("p_partkey", R.parsed_output(raw, "title string", "title").alias("x"))
+    return rows.select("p_partkey", "x.error", F.col("x.value.title").alias("title"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN [p_name, NULL, NULL] ELSE [p_name, p_brand, p_type] END AS padded, CASE WHEN p_size % 2 = 0 THEN 'LENGTH_MISMATCH' END AS error FROM part")
+def pad_truncate(t, spark):
+    items = F.when(F.col("p_size") % 2 == 0, F.array("p_name")).otherwise(F.array("p_name", "p_brand", "p_type"))
+    return t("part").select("p_partkey", R.padded(items, F.lit(3)).alias("padded"), R.output_error(F.lit(None).cast("string"), items, items, F.lit(3)).alias("error"))
+
+
+@query("SELECT p_partkey, 'Repair' || chr(10) || '- a: ' || p_name || chr(10) || CASE WHEN p_size % 2 = 0 THEN '* objective: state the aim' || chr(10) || '* other: fill in if the text states it' ELSE 'All fields are present.' END AS prompt FROM part")
+def repair_prompt(t, spark):
+    missing = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("objective"), F.lit("other"))).otherwise(F.array().cast("array<string>"))
+    items = F.array(F.struct(F.lit("a").alias("id"), F.col("p_name").alias("text")))
+    return t("part").select("p_partkey", R.prompt("Repair", items, missing, {"objective": "state the aim"}).alias("prompt"))
+
+
+@query()
+def normalised_forms(t, spark):
+    """NFKC titles and rewritten addresses; the Python forms are tested on vectors."""
+    return t("pages").select("page_id", R.nfkc("html").alias("nfkc"), R.rewrite_url({"per-page": "1"})("url").alias("url"))
+
+
+@query()
+def described_images(t, spark):
+    """Image captions put into page texts."""
+    return t("pages").select("page_id", R.describe_images_udf("html", F.create_map(F.lit("a.png"), F.lit("a figure"))).alias("html"))

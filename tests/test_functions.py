@@ -137,3 +137,17 @@ def test_filled_variants(spark):
     assert [v(f(e), qs, [(None,), ("q",)]) for f in (E.first_query_filled, E.any_query_filled)] == [False, True]
     assert v(E.first_query_filled(e), qs, []) is False and v(E.first_query_filled(e), qs, None) is False
     assert (v(E.slim_filled(e, "number"), "int", 0), v(E.statistic_filled(e, "number"), "int", 0), v(E.explored(e, "boolean"), "boolean", False)) == (True, False, False)
+
+
+def test_records(spark):
+    from corpusmill.functions import records as R
+
+    assert R.describe_images('![x](./a.png) <img src="a.png" alt="old"> ![y](b.png)', {"a.png": 'say "hi"'}) == (
+        '![say "hi"](./a.png)\n\n*say "hi"* <img alt="say &quot;hi&quot;" src="a.png">\n\n*say "hi"* ![y](b.png)'
+    )
+    df = spark.createDataFrame([("ﬁ①", "https://x.org/?a=&b=1+2&per-page=9")], "a string, u string")
+    r = df.select(R.nfkc("a").alias("a"), R.rewrite_url({"per-page": "1"})("u").alias("u")).first()
+    assert (r.a, r.u) == ("fi1", "https://x.org/?b=1+2&per-page=1")
+    assert one(spark, R.record_id(F.lit(""), F.lit(None).cast("string"), F.lit("x"))) == "x"
+    x = one(spark, R.model_input(F.lit(None).cast("array<string>"), F.array(F.lit("k"))))
+    assert (x.expected_len, x.keywords_only, len(x["items"])) == (1, True, 1)
