@@ -12,8 +12,7 @@ NOT_WORD = r"[^\p{L}\p{N}_\s]"
 
 #: Words that carry no identity in a title.
 TITLE_STOPWORDS = (
-    "about across after among analysis approach based between effect effects evaluation evidence impact literature "
-    "meta review reviews scoping study studies systematic their these those through towards using with within"
+    "a an and are as at by for from in into is of on or that the to with without via using use review systematic meta analysis"
 ).split()
 
 
