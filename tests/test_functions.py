@@ -89,7 +89,7 @@ def test_search_urls(spark):
 
 def test_sanitise():
     assert B.sanitise("deep learning and (cat or big dog)") == 'search=("deep learning" AND  (cat OR "big dog"))'  # blank parts stay
-    assert B.sanitise("search=(a)") == "search=(a)"
+    assert B.sanitise("search=(a)") == "search= (a)"
 
 
 def test_normalisers(spark):
