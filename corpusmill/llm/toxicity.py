@@ -20,24 +20,25 @@ gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
+from .words import U, mix
 
 ROWS_PER_LABEL = 2000
 BUCKETS, DIM, NGRAMS, SCALE = 1 << 17, 8, (3, 5), 30.0
 EPOCHS, BATCH, RATE, DECAY = 16, 32, 0.02, 0.05
 MIN_DOCS, MIN_Z = 3, 5.0
 THRESHOLD = 0.7
-CACHE_WORDS = 300_000
+SLICE = 1000  # documents that are scored at once
 _EDGE = ".,;:!?\"'()[]{}<>*#%&$-_"
 
 
@@ -46,11 +47,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def subwords(word: str) -> np.ndarray:
-    """Buckets of a word and of its character n-grams."""
-    w = f"<{word}>"
-    grams = [w, *(w[i : i + n] for n in range(NGRAMS[0], NGRAMS[1] + 1) for i in range(len(w) - n + 1))]
-    return np.fromiter((xxhash.xxh32_intdigest(g) for g in grams), np.int64, len(grams)) % BUCKETS
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' subwords, and the number of the word that each belongs to."""
+    text = "".join(f"<{w}>" for w in words)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    end = np.cumsum(size)
+    owner, last = np.repeat(np.arange(len(words)), size), np.repeat(end, size)
+    place = (np.arange(len(codes)) - np.repeat(end - size, size)).astype(U)
+    whole = mix(np.add.reduceat(mix(codes + place * U(0x9E3779B97F4A7C15)), end - size)) if len(words) else np.empty(0, U)
+    buckets, owners = [whole], [np.arange(len(words))]
+    at, h = np.arange(len(codes)), np.zeros(len(codes), U)
+    for n in range(1, NGRAMS[1] + 1):
+        fits = at + n <= last[at]
+        at, h = at[fits], h[fits]
+        h = (h + codes[at + n - 1] + U(1)) * U(0x9E3779B97F4A7C15)
+        if n >= NGRAMS[0]:
+            buckets.append(mix(h))
+            owners.append(owner[at])
+    return (np.concatenate(buckets) % U(BUCKETS)).astype(np.int64), np.concatenate(owners)
 
 
 def words_of(text: str) -> list[str]:
@@ -70,46 +85,57 @@ class Model:
 
 
 class Bags:
-    """Documents as sparse rows over the buckets; each row's weights sum up to SCALE."""
+    """Documents as sparse rows over the buckets; each row's weights sum up to SCALE. Rows are made when asked for."""
 
     def __init__(self, texts: list[str]):
-        known: dict[str, np.ndarray] = {}
-        self.rows = []
-        for text in texts:
-            counts: dict[str, int] = {}
-            for w in words_of(text):
-                counts[w] = counts.get(w, 0) + 1
-            if not counts:
-                self.rows.append((np.empty(0, np.int64), np.empty(0, np.float32)))
-                continue
-            n = sum(counts.values())
-            at = [known[w] if w in known else known.setdefault(w, subwords(w)) for w in counts]
-            weight = np.concatenate([np.full(len(a), c / len(a) / n * SCALE) for a, c in zip(at, counts.values())])
-            index, where = np.unique(np.concatenate(at), return_inverse=True)
-            self.rows.append((index, np.bincount(where, weight).astype(np.float32)))
-
-
-def telling(bags: list, labels: np.ndarray) -> np.ndarray:
+        number: dict[str, int] = {}
+        self.words = []
+        for t in texts:
+            c = Counter(words_of(t))
+            self.words.append((np.fromiter((number.setdefault(w, len(number)) for w in c), np.int32, len(c)), np.fromiter(c.values(), np.int32, len(c))))
+        parts, many, known = [], [], list(number)
+        for lo in range(0, len(known), 20_000):
+            bucket, owner = subwords(known[lo : lo + 20_000])
+            parts.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+            many.append(np.bincount(owner))
+        self.bucket = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        self.many = np.concatenate(many) if many else np.empty(0, np.int64)
+        self.begin = np.cumsum(self.many) - self.many
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets in order, and their weights."""
+        w, n = self.words[i]
+        many = self.many[w]
+        at = np.repeat(self.begin[w] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        index, where = np.unique(self.bucket[at], return_inverse=True)
+        return index, np.bincount(where, np.repeat(n * SCALE / max(1, int(n.sum())) / np.maximum(1, many), many), len(index)).astype(np.float32)
+
+
+def telling(bags: Bags, labels: np.ndarray) -> np.ndarray:
     """Buckets whose share of documents differs between the labels by ``MIN_Z`` standard errors; all, if none does.
 
     Others say nothing that the sample can prove, and would only learn it by heart.
     """
-    n = [(labels == k).sum() for k in (0, 1)]
-    have = [np.bincount(np.concatenate([b[0] for b, y in zip(bags, labels) if y == k]), minlength=BUCKETS) for k in (0, 1)]
-    both = (have[0] + have[1]) / sum(n)
+    n, have = [(labels == k).sum() for k in (0, 1)], np.zeros((2, BUCKETS))
+    for i, y in enumerate(labels.tolist()):
+        have[y, bags.row(i)[0]] += 1
+    both = have.sum(0) / sum(n)
     error = np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n[0] + 1 / n[1]))
-    use = (have[0] + have[1] >= MIN_DOCS) & (np.abs(have[1] / n[1] - have[0] / n[0]) >= MIN_Z * error)
-    return np.flatnonzero(use if use.any() else have[0] + have[1] > 0)
+    use = (have.sum(0) >= MIN_DOCS) & (np.abs(have[1] / n[1] - have[0] / n[0]) >= MIN_Z * error)
+    return np.flatnonzero(use if use.any() else have.sum(0) > 0)
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     """Joint training of embeddings and softmax; labels are weighted to equal shares."""
     rng = np.random.default_rng(seed)
-    bags = Bags(texts).rows
+    bags = Bags(texts)
     use = telling(bags, labels)
     at = np.full(BUCKETS, -1)
     at[use] = np.arange(len(use))
-    bags = [(at[i][at[i] >= 0], w[at[i] >= 0]) for i, w in bags]
+    bags = [(at[i][at[i] >= 0], w[at[i] >= 0]) for i, w in map(bags.row, range(len(bags)))]
     params = [rng.normal(0, 0.05, (len(use), DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     share = np.array([0.5 / (labels == k).mean() for k in (0, 1)], np.float32)
@@ -154,25 +180,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return rows["_text"].to_pylist(), rows["_y"].to_numpy().astype(np.int64)
 
 
-def _scorer(folded: np.ndarray | None, bias: float):
-    class Scores(dict):
-        def __missing__(self, word: str) -> float:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            w = word.strip(_EDGE)
-            self[word] = s = float(folded[subwords(w)].mean()) if w else None
-            return s
+def scores_of(texts: list[str], folded: np.ndarray, bias: float) -> np.ndarray:
+    """Scores of whole texts; each distinct word among them is hashed once."""
+    number: dict[str, int] = {}
+    sizes, flat = [], []
+    for text in texts:
+        words = text.lower().split()
+        sizes.append(len(words))
+        flat += [number.setdefault(w, len(number)) for w in words]
+    bare = [w.strip(_EDGE) for w in number]
+    bucket, owner = subwords(bare)
+    word = np.bincount(owner, folded[bucket], len(bare)) / np.maximum(1, np.bincount(owner, minlength=len(bare)))
+    real = np.fromiter((bool(w) for w in bare), bool, len(bare))
+    flat, doc = np.array(flat, np.int64), np.repeat(np.arange(len(texts)), sizes)
+    total = np.bincount(doc, np.where(real, word, 0.0)[flat], len(texts))
+    odds = bias + total / np.maximum(1, np.bincount(doc, real[flat].astype(np.float64), len(texts)))
+    return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+
 
+def _scorer(folded: np.ndarray | None, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = Scores()
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            if folded is not None:
-                for i, text in enumerate(pc.fill_null(batch["text"], "").to_pylist()):
-                    s = [x for x in map(scores.__getitem__, text.lower().split()) if x is not None]
-                    out[i] = bias + (sum(s) / len(s) if s else 0.0)
-                out = 1 / (1 + np.exp(-np.clip(out, -50, 50)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(out)], ["doc_id", "held_out", "score"])
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                texts = pc.fill_null(part["text"], "").to_pylist()
+                out = np.zeros(len(texts)) if folded is None else scores_of(texts, folded, bias)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(out)], ["doc_id", "held_out", "score"])
 
     return run
 
@@ -197,13 +230,13 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     if model is None:
         return docs
     folded, bias = model.folded()
-    run = _scorer(folded, bias)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            side = pa.RecordBatch.from_arrays([batch[text_col].cast(pa.string()), batch[text_col], batch[text_col]], ["text", "doc_id", "held_out"])
-            for scored in run(iter([side])):
-                yield batch.filter(pa.array(scored["score"].to_numpy() < threshold))
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                texts = pc.fill_null(part[text_col].cast(pa.string()), "").to_pylist()
+                yield part.filter(pa.array(scores_of(texts, folded, bias) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
 
