@@ -47,29 +47,33 @@ from .words import U, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 1.0, 17
-SLICE_CHARS, REUSE = 1_000_000, 8
+SLICE_CHARS, REUSE, SLOT_BITS = 500_000, 8, 20
+LEVEL, PLAIN_CHARS, DEEP = 3.0, 150, 60.0
 MARK, LITERAL_MARK = "▁", "\udc81"  # the space mark, and what stands for a literal one inside the operator
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
 @dataclass
 class Pieces:
-    """A model's pieces: ids and log-weights by text, texts by id, the first of the 256 byte ids."""
+    """A model's pieces: ids and log-weights by text, texts by id, the first of the 256 byte ids, a table of hashes."""
 
     ids: dict[str, int]
     weight: dict[str, float]
-    texts: list[bytes]
+    bytes: np.ndarray  # of all pieces' texts, end to end
+    starts: np.ndarray
+    sizes: np.ndarray
     byte0: int
     longest: int
     fallback: float
-    keys: np.ndarray  # sorted hashes of all pieces and of what they start with
-    values: np.ndarray  # the piece of each, -1 for a mere start
+    slots: np.ndarray  # hash table of all pieces and of what they start with: hashes, 0 where empty
+    values: np.ndarray  # the piece of each slot, -1 for a mere start
     weights: np.ndarray  # by id
 
     @staticmethod
     def hash_step(h: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The hash of a string with one more character."""
-        return (h ^ char.astype(U)) * U(0x9E3779B97F4A7C15) + (h >> U(29)) + U(1)
+        x = (h ^ char.astype(U)) * U(0x9E3779B97F4A7C15) + (h >> U(29)) + U(1)
+        return x ^ (x << U(32))
 
     @staticmethod
     def load(path: str = MODEL, alpha: float = ALPHA) -> Pieces:
@@ -94,15 +98,37 @@ class Pieces:
                 h = Pieces.hash_step(h, np.array([ord(c)]))
                 hashes.setdefault(int(h[0]), -1)
             hashes[int(h[0])] = i
-        keys = np.array(sorted(hashes), U)
+        slots, values = np.zeros(1 << SLOT_BITS, U), np.full(1 << SLOT_BITS, -1, np.int64)
+        for h, i in hashes.items():
+            at = h >> (64 - SLOT_BITS)
+            while slots[at]:
+                at = (at + 1) % len(slots)
+            slots[at], values[at] = h, i
         weights = np.zeros(n)
         for t, i in ids.items():
             weights[i] = weight[t]
-        return Pieces(ids, weight, texts, byte0, max(map(len, ids)), -alpha * math.log(n + 10), keys, np.array([hashes[int(k)] for k in keys], np.int64), weights)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        return Pieces(ids, weight, np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes, byte0, max(map(len, ids)), -alpha * math.log(n + 10), slots, values, weights)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are in the table, and their values."""
+        at = (h >> U(64 - SLOT_BITS)).astype(np.int64)
+        seen = self.slots[at]
+        todo = np.flatnonzero((seen != h) & (seen != 0))
+        while len(todo):  # the next slot, for the few that met another hash
+            at[todo] = (at[todo] + 1) % len(self.slots)
+            seen[todo] = self.slots[at[todo]]
+            todo = todo[(seen[todo] != h[todo]) & (seen[todo] != 0)]
+        known = np.flatnonzero(seen == h)
+        return known, self.values[at[known]]
 
     def decode(self, ids) -> str:
         """The text of ids; the space that encoding puts in front is taken off."""
-        data = b"".join(map(self.texts.__getitem__, ids))
+        ids = np.asarray(ids, np.int64)
+        size = self.sizes[ids]
+        end = np.cumsum(size)
+        at = np.repeat(self.starts[ids] - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)
+        data = self.bytes[at].tobytes()
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
@@ -120,6 +146,16 @@ def _uniform(*parts) -> np.ndarray:
     return ((x >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+_STEPS = np.arange(4096, dtype=U) * U(0x9E3779B97F4A7C15)
+
+
+def _log_noise(seed: int, path: int, n: int) -> np.ndarray:
+    """Logarithms of n exponential variables."""
+    steps = _STEPS[:n] if n <= len(_STEPS) else np.arange(n, dtype=U) * U(0x9E3779B97F4A7C15)
+    x = mix(steps + U((seed ^ (path + 2) * 0xD1342543DE82EF95) % 2**64))
+    return np.log(-np.log(((x >> U(11)).astype(np.float64) + 0.5) * 2.0**-53))
+
+
 class Slice:
     """The lattices of some documents, end to end, and the search over them."""
 
@@ -145,12 +181,12 @@ class Slice:
             fits = at + length <= end[at]
             at, h = at[fits], h[fits]
             h = Pieces.hash_step(h, text[at + length - 1])
-            k = np.minimum(np.searchsorted(pieces.keys, h), len(pieces.keys) - 1)
-            known = pieces.keys[k] == h
-            at, h, k = at[known], h[known], pieces.values[k[known]]
-            full = k >= 0
-            parts.append((at[full], np.full(full.sum(), length), k[full], pieces.weights[k[full]]))
-            if length == 1:
+            known, k = pieces.find(h)
+            at, h = at[known], h[known]
+            full = np.flatnonzero(k >= 0)
+            k = k[full]
+            parts.append((at[full], np.full(len(full), length), k, pieces.weights[k]))
+            if length == 1:  # characters without a piece
                 none = np.ones(nodes, bool)
                 none[at[full]] = False
                 odd = np.flatnonzero(none)
@@ -167,24 +203,29 @@ class Slice:
         self.owner = start
         target = start + self.length
         target[target == end[start]] = nodes
-        # backward sums, all words at once, by the distance of nodes from the ends of their words
-        mass = np.zeros(nodes + 1)
-        by = np.argsort(end - np.arange(nodes), kind="stable")
-        steps = np.cumsum(np.bincount(end - np.arange(nodes))[1:]) if nodes else []
+        # backward sums, all words at once, by the distance of nodes from the ends of their words;
+        # not as logarithms, but scaled by LEVEL per character, unless a word is too long for that
+        far = end - np.arange(nodes)
+        by = np.argsort(far.astype(np.uint16) if not nodes or size.max() < 1 << 16 else far, kind="stable")
+        plain = not nodes or size.max() <= PLAIN_CHARS
+        if plain:
+            weight = np.exp(weight + LEVEL * self.length)
+        mass = np.full(nodes + 1, 1.0 if plain else 0.0)
         lo = 0
-        for hi in steps:
+        for hi in np.cumsum(np.bincount(far)[1:]) if nodes else ():
             node = by[lo:hi]
             lo = hi
-            if not len(node):
-                continue
             n = degree[node]
             head = np.cumsum(n) - n
-            e = np.repeat(self.edge[node] - head, n) + np.arange(int(n.sum()))
-            value = weight[e] + mass[target[e]]
-            top = np.maximum.reduceat(value, head)
-            mass[node] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), head))
-        self.logp = np.minimum(0.0, weight + mass[target] - mass[start])
-        p = np.exp(self.logp)
+            e = np.repeat(self.edge[node] - head, n) + np.arange(int(head[-1] + n[-1]))
+            if plain:
+                mass[node] = np.add.reduceat(weight[e] * mass[target[e]], head)
+            else:
+                value = weight[e] + mass[target[e]]
+                top = np.maximum.reduceat(value, head)
+                mass[node] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), head))
+        p = np.minimum(1.0, weight * mass[target] / mass[start] if plain else np.exp(weight + mass[target] - mass[start]))
+        self.logp = np.log(np.maximum(p, 1e-300))
         total = np.concatenate([[0.0], np.cumsum(p)])
         self.low = total[:-1] - total[self.edge[start]]
         cum = self.low + p
@@ -192,7 +233,7 @@ class Slice:
         self.cum = start + np.minimum(cum, 1.0)
         self.scale = 1 / np.maximum(p, 1e-300)
         with np.errstate(divide="ignore"):
-            self.rest = np.log(-np.expm1(self.logp))  # log of what the other edges of the node weigh
+            self.rest = np.log1p(-p)  # log of what the other edges of the node weigh
         self.rest[degree[start] == 1] = -np.inf
 
     def draw(self, doc: np.ndarray, word: np.ndarray, node: np.ndarray, path: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,13 +311,18 @@ class Slice:
     def _take(self, heap: list, found: list, d: int, edges: np.ndarray, owner: np.ndarray, value: float, t: int, out: frozenset | set | None, k: int, path: int) -> None:
         """Add a path with its perturbed value, and what leaves it from edge t on to the queue."""
         lp = np.cumsum(self.logp[edges])
-        mass = self.rest[edges[t:]] + np.concatenate([[lp[t - 1] if t else 0.0], lp[t:-1]]) if len(edges) else np.empty(0)
-        if out is not None and len(edges):  # at edge t more than one piece is taken
+        above = float(lp[t - 1]) if t else 0.0
+        # what lies so far down that the weight of all before is below exp(-DEEP) can't be among the best (the chance is under 1e-20)
+        n = min(len(edges), len(lp) - int(np.searchsorted(lp[::-1], above - DEEP)) + 1) - t
+        mass = self.rest[edges[t : t + n]]
+        mass[1:] += lp[t : t + n - 1]
+        if n:
+            mass[0] += above
+        if out is not None and n:  # at edge t more than one piece is taken
             node = int(self.owner[edges[t]])
             left = [x for x in range(int(self.edge[node]), int(self.edge[node + 1])) if x not in out]
-            mass[0] = (lp[t - 1] if t else 0.0) + math.log(max(1e-300, float(np.exp(self.logp[left]).sum()))) if left else -math.inf
-        noise = np.log(-np.log(_uniform(self.seed[d : d + 1], U(path + 2), np.arange(len(mass)).astype(U)))) if len(mass) else mass
-        values = -np.logaddexp(-value, noise - mass)
+            mass[0] = above + math.log(max(1e-300, float(np.exp(self.logp[left]).sum()))) if left else -math.inf
+        values = -np.logaddexp(-value, _log_noise(int(self.seed[d]), path, n) - mass)
         source = len(found)
         found.append((edges, float(lp[-1]) if len(lp) else 0.0, value, owner))
         need = k + 1 - len(found)
@@ -290,13 +336,15 @@ class Slice:
 
     def ids(self, edges: np.ndarray, byte0: int) -> np.ndarray:
         piece = self.piece[edges]
+        char = -1 - piece
+        piece = np.where((char >= 0) & (char < 128), char + byte0, piece)
         odd = np.flatnonzero(piece < 0)
         if not len(odd):
             return piece.astype(np.int32)
         out, at = [], 0
         for i in odd.tolist():
             out.append(piece[at:i])
-            out.append(np.frombuffer(chr(-1 - int(piece[i])).encode("utf-8", "replace"), np.uint8).astype(np.int64) + byte0)
+            out.append(np.frombuffer(chr(int(char[i])).encode("utf-8", "replace"), np.uint8).astype(np.int64) + byte0)
             at = i + 1
         return np.concatenate([*out, piece[at:]]).astype(np.int32)
 
@@ -334,7 +382,7 @@ def _sample(pieces: Pieces, k: int, seed: int):
                         x = part.ids(edges, pieces.byte0)
                         row.append(lo + i), number.append(j), ids.append(x), lp.append(p), value.append(g)
                         score.append(inclusion(p, kappa))
-                        same.append(pieces.decode(x.tolist()) == texts[lo + i])
+                        same.append(pieces.decode(x) == texts[lo + i])
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else [], pa.int32())),
