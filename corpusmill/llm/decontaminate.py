@@ -1,8 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. The word n-grams of the test items are counted over the whole corpus. Of each item those
-   are its seeds that are rare among its own: at most ``RARE`` times as frequent as their
-   median, so that an item which leaked into a third of all documents keeps its seeds.
+1. All word n-grams of the test items are seeds. None is dropped for being frequent: how often
+   the corpus holds an n-gram doesn't tell a common phrase from a leak with many copies.
 2. Documents meet items where they share seeds. Hits of one item on neighbouring diagonals
    form a candidate, if there are ``MIN_SEEDS`` of them.
 3. Each candidate is aligned locally, word by word, with match +2, mismatch -1, gap -1. The
@@ -12,7 +11,7 @@
 Words are compared in lower case without punctuation at their ends. Items are taken in
 blocks of ``BLOCK_WORDS`` words, which bounds what is sent to the workers whatever the
 size of the benchmark; each block is one more pass over the documents. Documents are read
-where they are; only counts of seeds are shuffled.
+where they are; nothing is shuffled.
 
 Edge cases: null texts and texts without words match nothing; items with fewer than ``SEED``
 words have no seed and match nothing; repeated items and rows give repeated results; an empty
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 from .words import split, utf8
 
-SEED, MIN_SEEDS, RARE, THRESHOLD = 3, 2, 4.0, 0.5
+SEED, MIN_SEEDS, THRESHOLD = 3, 2, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BAND = 16  # diagonals that edits may lie apart
 BLOCK_WORDS = 250_000
@@ -88,17 +87,6 @@ class Index:
         keys, begin = np.unique(key[order], return_index=True)
         return Index(vocabulary, items, [i for i, _ in rows], keys, np.append(begin, len(key)), item[order], at[order])
 
-    def rarest(self, counts: np.ndarray) -> Index:
-        """Only the seeds that are rare among those of their item."""
-        n = np.repeat(counts, np.diff(self.begin))
-        median = np.zeros(len(self.items))
-        for i in np.unique(self.item):
-            median[i] = np.median(n[self.item == i])
-        keep = n <= RARE * np.maximum(median[self.item], 1)
-        key = np.repeat(self.keys, np.diff(self.begin))[keep]
-        keys, begin = np.unique(key, return_index=True)
-        return Index(self.vocabulary, self.items, self.ids, keys, np.append(begin, len(key)), self.item[keep], self.at[keep])
-
 
 def _grams(ids: np.ndarray, size: int) -> np.ndarray:
     """Keys of all runs of SEED words; negative where a word isn't in the vocabulary."""
@@ -175,20 +163,6 @@ def _hits(index: Index, cache: WordIds, texts: list[bytes]) -> Iterator[tuple[np
         yield ids, *_lookup(index, _grams(ids, size))
 
 
-def _count(index: Index):
-    """Occurrences of every seed, one row per seed and task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = WordIds(index.vocabulary), np.zeros(len(index.keys), np.int64)
-        for batch in batches:
-            for _, _, seed in _hits(index, cache, utf8(batch["text"])):
-                np.add.at(total, seed, 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
-
-    return run
-
-
 def _find(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordIds(index.vocabulary)
@@ -225,16 +199,12 @@ def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
         yield block
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
-    """Of each block, the index of its rare seeds; ``docs`` has a column text."""
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """The index of each block that has seeds."""
     for block in blocks(benchmark):
         index = Index.of(block)
-        if not len(index.keys):
-            continue
-        counts = docs.select("text").mapInArrow(_count(index), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-        n = np.zeros(len(index.keys), np.int64)
-        n[counts["seed"].to_numpy()] = counts["n"].to_numpy()
-        yield index.rarest(n)
+        if len(index.keys):
+            yield index
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind, item = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, item_id {item}, score double, start long, end long, seeds long"
     out = None
-    for index in indexes(rows, benchmark):
+    for index in indexes(benchmark):
         part = rows.mapInArrow(_find(index), ddl)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], ddl) if out is None else out
@@ -251,8 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that contain a test item; rows are tested in place, all columns unchanged."""
-    rows = docs.select(text_or_empty(text_col).alias("text"))
-    for index in indexes(rows, benchmark):
+    for index in indexes(benchmark):
         docs = docs.mapInArrow(_clean(index, text_col), docs.schema)
     return docs
 

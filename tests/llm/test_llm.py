@@ -275,6 +275,20 @@ def test_decontaminate(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {d for d, _ in want}
 
 
+def test_decontaminate_finds_an_edited_version_with_many_copies(spark):
+    rng, v = random.Random(9), vocabulary(1500, 3)
+    items = [(k, [rng.choice(v) for _ in range(20)]) for k in range(2)]
+    docs = []
+    for k, (_, w) in enumerate(items):
+        every = 4 + k  # every fourth or fifth word replaced
+        copy = ["zzz" if j % every == every - 1 else x for j, x in enumerate(w)]
+        docs += [(k * 100 + i, " ".join([*(rng.choice(v) for _ in range(30)), *copy, *(rng.choice(v) for _ in range(30))])) for i in range(40)]
+    docs += [(1000 + i, " ".join(rng.choice(v) for _ in range(80))) for i in range(40)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leak.contaminated(df, bench).collect()} == {(d, d // 100) for d, _ in docs if d < 1000}
+    assert {r.doc_id for r in leak.drop_contaminated(df, bench).collect()} == {d for d, _ in docs if d >= 1000}
+
+
 def test_align_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(60):
