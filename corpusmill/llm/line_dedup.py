@@ -1,21 +1,26 @@
-"""Line dedup by content-defined chunks of lines.
-
-A rolling hash over the hashes of the last ``SPAN`` lines ends a chunk where it is divisible
-by ``EVERY``, so boundaries depend on the lines around them alone and shift with the text
-when lines are put in or taken out before them. Chunks of two lines or more that occur
-several times in the corpus stay where they occur first (least id, then position) and are
-removed everywhere else.
-
-Chunks are grouped by a hash, and by their bytes: hashes only choose what to look at, and
-equal chunks are equal byte by byte. Both groupings combine on the map side first, so a chunk
-that a third of all documents hold costs one row per task. Only chunks whose hash repeats
+"""Line dedup by all runs of ``MIN_LINES`` lines, grouped by their bytes.
+
+A passage of two lines or more that repeats is a chain of repeated windows of two lines, wherever
+it begins and ends and whatever stands around it. So every window of every text is compared: one
+that occurs several times in the corpus stays where it occurs first (least id, then position),
+and its lines are removed everywhere else. A line goes if any window it is in goes; the first
+occurrence of each line in the corpus always stays, but a passage may be left in parts, each where
+it occurs first, and of one line many times in a row one is left.
+
+Windows are grouped by a hash, and by their bytes: hashes only choose what to look at, and
+equal windows are equal byte by byte. Both groupings combine on the map side first, so a window
+that a third of all documents hold costs one row per task. Only windows whose hash repeats
 bring their bytes to the second one.
 
-Lines end at ``\\n``. Lines without anything but white space end no chunk and count towards no
-chunk's two lines, but belong to the chunk they stand in.
+What is removed is also told in content-defined chunks, those of two lines or more of which no
+line is left: a rolling hash over the hashes of the last ``SPAN`` lines ends a chunk where it is
+divisible by ``EVERY``, so boundaries depend on the lines around them alone.
+
+Lines end at ``\\n``. Lines without anything but white space count towards no window's lines and
+end no chunk, but those between a window's lines belong to it, and go with it.
 
 Edge cases: null and empty texts have no lines to remove; repeated rows (same id and text)
-share one decision: the chunk that stays in one of them stays in all; null ids sort first; a
+share one decision: the window that stays in one of them stays in all; null ids sort first; a
 very long line is hashed whole; other columns are not read; an empty table gives an empty
 result.
 """
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +41,7 @@ from .common import BitFilter, cut, table, text_or_empty
 from .words import BASE, U, mix, utf8
 
 SPAN, EVERY, MIN_LINES, SLICE = 2, 3, 2, 500
-#: A chunk is hot from this many occurrences, and from a thousandth of all: at most 1,000 such chunks exist.
+#: A window is hot from this many occurrences, and from a thousandth of all: at most 1,000 such windows exist.
 HOT_ROWS, HOT_SHARE = 1000, 1000
 
 
@@ -57,8 +63,16 @@ def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
     return [(a, n, b"\n".join(lines[a:b])) for a, b, n in zip(firsts, lasts, counts)]
 
 
+def windows(text: bytes) -> list[tuple[int, int, bytes]]:
+    """(first line, last line, bytes) of each run of ``MIN_LINES`` lines that count."""
+    lines = text.split(b"\n")
+    solid = [i for i, x in enumerate(lines) if x.strip()]
+    ends = list(accumulate((len(x) + 1 for x in lines)))
+    return [(a, b, text[ends[a] - len(lines[a]) - 1 : ends[b] - 1]) for a, b in zip(solid, solid[MIN_LINES - 1 :])]
+
+
 def _keys(with_bytes: bool, may: BitFilter | None):
-    """Rows (row, at, key) of the multi-line chunks, with their bytes where the hash may repeat."""
+    """Rows (row, at, key) of all windows, with their bytes where the hash may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,9 +80,8 @@ def _keys(with_bytes: bool, may: BitFilter | None):
                 part = batch.slice(lo, SLICE)
                 ids, row, at, key, data = [], [], [], [], []
                 for k, text in enumerate(utf8(part["text"])):
-                    for first, n, body in chunks(text):
-                        if n >= MIN_LINES:
-                            ids.append(k), at.append(first), key.append(xxhash.xxh64_intdigest(body)), data.append(body)
+                    for first, _, body in windows(text):
+                        ids.append(k), at.append(first), key.append(xxhash.xxh64_intdigest(body)), data.append(body)
                 key = np.array(key, U).view(np.int64)
                 keep = np.arange(len(key)) if may is None else np.flatnonzero(may(key))
                 take = pa.array(np.array(ids, np.int64)[keep] if len(ids) else [], pa.int64())
@@ -82,18 +95,30 @@ def _keys(with_bytes: bool, may: BitFilter | None):
     return run
 
 
+def _without(text: bytes, gone: set[int]) -> tuple[bytes, int, int]:
+    """What is left when the windows that begin at some lines go, and how many lines and whole chunks went."""
+    lines = text.split(b"\n")
+    left = np.ones(len(lines), bool)
+    for first, last, _ in windows(text):
+        if first in gone:
+            left[first : last + 1] = False
+    content = np.array([bool(x.strip()) for x in lines])
+    n = sum(k >= MIN_LINES and not (left & content)[a : a + body.count(b"\n") + 1].any() for a, k, body in chunks(text))
+    return b"\n".join(x for x, stays in zip(lines, left.tolist()) if stays), int((~left).sum()), n
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, SLICE):
             part = batch.slice(lo, SLICE)
             lines, removed, n_chunks, texts = [], [], [], []
             for text, gone in zip(utf8(part["text"]), part["gone"].to_pylist()):
-                gone, all_chunks = set(gone or ()), chunks(text)
                 lines.append(text.count(b"\n") + 1 if text else 0)
-                kept = [c for c in all_chunks if c[0] not in gone]
-                removed.append(sum(body.count(b"\n") + 1 for first, _, body in all_chunks if first in gone))
-                n_chunks.append(len(all_chunks) - len(kept))
-                texts.append(text if len(kept) == len(all_chunks) else b"\n".join(body for _, _, body in kept))
+                if gone:
+                    text, *counts = _without(text, set(gone))
+                else:
+                    counts = 0, 0
+                removed.append(counts[0]), n_chunks.append(counts[1]), texts.append(text)
             yield pa.RecordBatch.from_arrays(
                 [part["doc_id"], pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_chunks, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
                 ["doc_id", "n_lines", "n_removed", "n_chunks_removed", "text"],
@@ -145,18 +170,22 @@ def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def brute_force(rows: list[tuple]) -> dict:
-    """{id: (n_lines, n_removed, n_chunks_removed, kept_sha256)} from a table of all chunks; for tests."""
-    held = {d: chunks((t or "").encode()) for d, t in rows}
-    first: dict[bytes, tuple] = {}
+    """{id: (n_lines, n_removed, n_chunks_removed, kept_sha256)} from a table of all pairs of lines with content; for tests."""
+    held, seen, out = {d: (t or "").encode() for d, t in rows}, set(), {}
     for d in sorted(held):
-        for at, n, body in held[d]:
-            if n >= MIN_LINES:
-                first.setdefault(body, (d, at))
-    out = {}
-    for d, t in rows:
-        text = (t or "").encode()
-        gone = {at for at, n, body in held[d] if n >= MIN_LINES and first[body] != (d, at)}
-        kept = [body for at, _, body in held[d] if at not in gone]
-        left = text if not gone else b"\n".join(kept)
-        out[d] = (text.count(b"\n") + 1 if text else 0, sum(b.count(b"\n") + 1 for at, _, b in held[d] if at in gone), len(gone), hashlib.sha256(left).hexdigest())
+        lines, gone, before = held[d].split(b"\n"), set(), None
+        for i, x in enumerate(lines):
+            if not x.strip():
+                continue
+            if before is not None:
+                pair = tuple(lines[before : i + 1])
+                if pair in seen:
+                    gone.update(range(before, i + 1))
+                seen.add(pair)
+            before = i
+        n = 0
+        for a, k, body in chunks(held[d]):
+            n += k >= 2 and all(i in gone or not lines[i].strip() for i in range(a, a + len(body.split(b"\n"))))
+        left = b"\n".join(x for i, x in enumerate(lines) if i not in gone)
+        out[d] = (len(lines) if held[d] else 0, len(gone), n, hashlib.sha256(left).hexdigest())
     return out

@@ -201,6 +201,21 @@ def test_line_dedup_brute_force(spark):
     assert got == want and sum(w[2] for w in want.values()) > 20
 
 
+def test_line_dedup_removes_repeats_whatever_stands_around_them(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for i in range(60):  # passages of two to seven lines, each twice between lines that occur once
+        passage = [f"passage {i} {k}" for k in range(2 + i % 6)]
+        for copy in range(2):
+            head, tail = ([f"{side} {i} {copy} {k}" for k in range(rng.randint(0, 3))] for side in ("head", "tail"))
+            rows.append((2 * i + copy, "\n".join([*head, *passage, *tail])))
+            want[2 * i + copy] = "\n".join([*head, *tail] if copy else [*head, *passage, *tail])
+    rows += [(900, "x\n\ny\nz"), (901, "q\nx\n\ny\n\nr"), (902, "x\ny"), (903, "z\nz\nz")]
+    want |= {900: "x\n\ny\nz", 901: "q\n\nr", 902: "x\ny", 903: "z"}
+    got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_line_chunks_shift():
     base = [f"line {i} {i * i}" for i in range(60)]
     a = {c[2] for c in lines.chunks("\n".join(base).encode())}
