@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,38 +17,62 @@ from ..functions.text import join_hyphenated
 THRESHOLD, MIN_QUOTE = 70, 5
 
 
-def partial_ratio(needle: str, text: str) -> float:
+def _common(where: dict[str, int], n: int, text: str) -> int:
+    """Length of the longest common subsequence of ``text`` and the string of length n whose characters stand at ``where``."""
+    full = v = (1 << n) - 1
+    for c in text:
+        u = v & where.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+def partial_ratio(needle: str, text: str, cutoff: float = 0.0) -> float:
     """0-100: the best indel similarity of the shorter string to a window of the longer one.
 
-    Windows are tried where a run of the shorter string's characters stands in the longer one
-    (all of them in short texts), so it can be below the true maximum where no run matches.
+    All windows are tried, except those that a bound excludes: what a window shares with the
+    shorter string is at most the characters that both have, and at most the longest common
+    subsequence. With a cutoff, the result is exact from there on and only known to be less below.
     """
     a, b = (needle, text) if len(needle) <= len(text) else (text, needle)
     if not a:
         return 0.0
     if a in b:
         return 100.0
-    n, best = len(a), 0.0
-    if len(b) <= 4 * n:
-        starts = set(range(0, len(b) - n + 1))
-    else:
-        starts = set()
-        k = max(3, min(8, n // 4))
-        for i in range(0, n - k + 1, max(1, k // 2)):
-            at = b.find(a[i : i + k])
-            while at >= 0 and len(starts) < 200:
-                starts.add(min(max(0, at - i), len(b) - n))
-                at = b.find(a[i : i + k], at + 1)
-    for s in starts:
-        m = difflib.SequenceMatcher(None, b[s : s + n], a, autojunk=False)
-        if m.quick_ratio() * 100 > best:
-            best = max(best, m.ratio() * 100)
-    return best
-
-
-@F.pandas_udf(DoubleType())
-def partial_ratio_udf(needle: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else partial_ratio(a, b) for a, b in zip(needle, text)])
+    n, best = len(a), 0
+    points = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    shared = np.zeros(len(b) - n + 1, np.int64)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    for c, at in where.items():
+        sums = np.concatenate([[0], np.cumsum(points == ord(c))])
+        shared += np.minimum(sums[n:] - sums[:-n], at.bit_count())
+    least = max(1, math.ceil(cutoff * n / 100 - 1e-9))
+    step = max(1, n // 8)
+    runs = range(0, len(shared), step)  # neighbouring starts, of which one bound excludes all
+    runs = [(int(shared[lo : lo + step].max()), lo) for lo in runs]
+    match = difflib.SequenceMatcher(None, "", a, autojunk=False)
+    for most, lo in sorted(runs, key=lambda x: (-x[0], x[1])):
+        if most < max(least, best + 1):
+            break
+        if _common(where, n, b[lo : lo + step + n - 1]) < max(least, best + 1):
+            continue
+        for s in range(lo, min(lo + step, len(shared))):
+            if shared[s] >= max(least, best + 1) and _common(where, n, b[s : s + n]) >= max(least, best + 1):
+                match.set_seq1(b[s : s + n])
+                best = max(best, sum(m.size for m in match.get_matching_blocks()))
+    return 2.0 * best / (2 * n) * 100
+
+
+def ratio_udf(cutoff: float):
+    @F.pandas_udf(DoubleType())
+    def ratio(needle: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else partial_ratio(a, b, cutoff) for a, b in zip(needle, text)])
+
+    return ratio
+
+
+partial_ratio_udf = ratio_udf(0.0)
 
 
 def quote_exact(quote: Column, value_empty: Column, text: Column, least: int = MIN_QUOTE) -> Column:
@@ -61,7 +87,7 @@ def verify_quotes(df: DataFrame, quote: str, value_empty: Column, text: str, thr
     """Adds ``verified``. Rows that an exact test decides never reach Python."""
     staged = df.withColumn("_stage", quote_exact(F.col(quote), value_empty, F.col(text), least))
     sure = staged.where("_stage != 'fuzzy'").withColumn("verified", F.col("_stage") == "ok")
-    doubt = staged.where("_stage = 'fuzzy'").withColumn("verified", F.coalesce(partial_ratio_udf(join_hyphenated(F.col(quote)), join_hyphenated(F.col(text))) >= threshold, F.lit(False)))
+    doubt = staged.where("_stage = 'fuzzy'").withColumn("verified", F.coalesce(ratio_udf(threshold)(join_hyphenated(F.col(quote)), join_hyphenated(F.col(text))) >= threshold, F.lit(False)))
     return sure.unionByName(doubt).drop("_stage")
 
 

@@ -1,5 +1,6 @@
 """Dedup, joins, aggregates, alignment, sources and streaming on small tables."""
 
+import difflib
 import json
 
 import pytest
@@ -183,3 +184,21 @@ def test_repair_is_balanced_and_stable(q):
 def test_partial_ratio_bounds(a, b):
     x = align.partial_ratio(a, b)
     assert 0 <= x <= 100 and (not a or a not in b or x == 100)
+
+
+def test_partial_ratio_finds_late_quotes(spark):
+    quote = "the effect of the treatment on the patients of the clinic"
+    text = "the effect was seen, " * 400 + "the efect of the treatmant on the patiants of the clinyc" + " and so on" * 40
+    assert align.partial_ratio(quote, text) > 90 and align.partial_ratio(quote, text, 70) > 90
+    assert align.partial_ratio("the cat sat on", "the " * 400 + "xx thx cxt sxt on xx") > 70
+    rows = spark.createDataFrame([(1, quote, text), (2, quote, "the effect was seen, " * 400)], "id int, q string, t string")
+    assert {r.id: r.verified for r in align.verify_quotes(rows, "q", F.lit(False), "t").collect()} == {1: True, 2: False}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abc ", min_size=1, max_size=20), st.text(alphabet="abc ", min_size=20, max_size=120), st.sampled_from([0, 50, 70, 90]))
+def test_partial_ratio_tries_every_window(a, b, cutoff):
+    n = len(a)
+    want = max(difflib.SequenceMatcher(None, b[s : s + n], a, autojunk=False).ratio() * 100 for s in range(len(b) - n + 1))
+    got = align.partial_ratio(a, b, cutoff)
+    assert got == pytest.approx(want) if want >= cutoff else got < cutoff
