@@ -6,7 +6,8 @@
    form a candidate, if there are ``MIN_SEEDS`` of them.
 3. Each candidate is aligned locally, word by word, with match +2, mismatch -1, gap -1. The
    score is divided by that of the whole item; from ``THRESHOLD`` on the passage is a copy,
-   edited or not.
+   edited or not. So is one that scores as much as ``PASSAGE`` words in a row do, however
+   small a part of the item it is.
 
 Words are compared in lower case without punctuation at their ends. Items are taken in
 blocks of ``BLOCK_WORDS`` words, which bounds what is sent to the workers whatever the
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 from .words import split, utf8
 
-SEED, MIN_SEEDS, THRESHOLD = 3, 2, 0.5
+SEED, MIN_SEEDS, THRESHOLD, PASSAGE = 3, 2, 0.5, 13
 MATCH, MISMATCH, GAP = 2, -1, -1
 BAND = 16  # diagonals that edits may lie apart
 BLOCK_WORDS = 250_000
@@ -146,7 +147,7 @@ def matches(index: Index, ids: np.ndarray, found: np.ndarray, seed: np.ndarray)
         part = ids[lo:hi]
         score, end = align(words, part)
         share = score / (MATCH * len(words))
-        if share >= THRESHOLD and share > best.get(int(item[a]), (0.0,))[0]:
+        if (share >= THRESHOLD or score >= MATCH * PASSAGE) and share > best.get(int(item[a]), (0.0,))[0]:
             _, length = align(words[::-1], part[:end][::-1])
             best[int(item[a])] = (share, lo + end - length, lo + end, seeds)
     return [(i, *x) for i, x in sorted(best.items())]

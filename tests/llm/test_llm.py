@@ -304,6 +304,17 @@ def test_decontaminate_finds_an_edited_version_with_many_copies(spark):
     assert {r.doc_id for r in leak.drop_contaminated(df, bench).collect()} == {d for d, _ in docs if d >= 1000}
 
 
+def test_decontaminate_finds_a_passage_of_a_long_item():
+    v = vocabulary(1500, 4)
+    rng = random.Random(10)
+    words = rng.sample(v, 59)
+    index = leak.Index.of([(7, " ".join(words))])
+    for n, hit in ((29, True), (13, True), (12, False)):
+        text = " ".join(["zzz"] * 20 + words[15 : 15 + n] + ["zzz"] * 20).encode()
+        found = [leak.matches(index, *x) for x in leak._hits(index, leak.WordIds(index.vocabulary), [text])]
+        assert found == [[(0, n / 59, 20, 20 + n, n - 2)] if hit else []]
+
+
 def test_align_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(60):
