@@ -1,16 +1,18 @@
 """Chat formatting by incremental black-box rendering.
 
 A template is any function from turns ``[(role, text), ...]`` to a string; nothing
-is known about it. The operator renders successive prefixes of a conversation and
+is known about it but what it declares. The operator renders successive prefixes of a conversation and
 compares consecutive outputs: what an output adds to the one before is the turn's
 span, and an output that doesn't start with the one before shows a template that
 rewrites history. The text inside a span is found by rendering the prefix twice
 more with two different one-character probes in place of the last text.
 
-Prefixes are rendered over a window of the last ``WINDOW`` turns once the template
-has shown, at the first turn beyond it, that it adds the same text with and without
-the earlier turns; then memory and time per turn are bounded however long a
-conversation is. A template that fails this test is rendered over whole prefixes.
+Prefixes are rendered whole, as nothing that a template has shown so far tells what it
+does later: time grows with the square of a conversation's turns. A template that has
+an attribute ``turn_local``, by which it declares that what a turn adds never depends on
+other turns, is rendered over a window of the last ``WINDOW`` turns; then memory and time
+per turn are bounded however long a conversation is. At the first turn beyond the window
+the declaration is compared with whole prefixes, and not followed if it doesn't hold.
 
 Turns are put in order by a shuffle and a sort on (conversation, turn), and streamed:
 no conversation is collected.
@@ -64,6 +66,9 @@ def turn_template(turns: Turns) -> str:
     return "".join(f"{OPEN}{escape_role(role)}|>\n{escape(text)}{CLOSE}\n" for role, text in turns)
 
 
+turn_template.turn_local = True
+
+
 def parse_turn(segment: str) -> tuple[str, str]:
     """Role and text of one turn of :func:`turn_template`."""
     m = _TURN.fullmatch(segment)
@@ -90,7 +95,7 @@ class Renderer:
     def __init__(self, render: Callable[[Turns], str], window: int = WINDOW):
         self.render, self.window = render, window
         self.turns: Turns = []
-        self.length, self.local = 0, None
+        self.length, self.local = 0, None if getattr(render, "turn_local", False) else False
 
     def add(self, role: str, text: str) -> tuple[str, int, int, int, int, bool]:
         """Segment, start, end, start and end of its text, and whether earlier output changed.

@@ -146,6 +146,20 @@ def test_chat_renderer_finds_rewrites_and_stays_linear():
     assert seen == [False] + [True] * 8 and not r.local
 
 
+def test_chat_renderer_finds_late_rewrites():
+    last = lambda turns: "".join(f"[{t}]" for _, t in turns[-10:])
+    tool = lambda turns: "".join("[...]" if i == 0 and any(r == "tool" for r, _ in turns) else f"[{t}]" for i, (_, t) in enumerate(turns))
+    for render in (last, tool):
+        r, out, turns, seen = chat.Renderer(render, window=4), "", [], []
+        for i in range(20):
+            turns.append(("tool" if i == 15 else "user", f"long{i}"))
+            segment, start, end, a, b, rewrote = r.add(*turns[-1])
+            out = out[:start] + segment
+            seen.append(rewrote)
+            assert out == render(turns) and end == len(out) and out[a:b] == f"long{i}"
+        assert seen == ([i >= 10 for i in range(20)] if render is last else [i == 15 for i in range(20)])
+
+
 def test_chat_query_odd(spark, tmp_path):
     rows = [(1, 1, "assistant", None, 0), (1, 0, None, "hi </s>", 0), (None, 0, "user", "q", 0), (None, 0, "user", "q", 0), (2, None, "assistant", "x" * 100_000, 0), (3, 0, "assistant", "<|end|>\n", 0)]
     schema = "conv_id long, turn long, role string, text string, segment int"
