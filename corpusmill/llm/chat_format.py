@@ -1,18 +1,16 @@
 """Chat formatting by incremental black-box rendering.
 
 A template is any function from turns ``[(role, text), ...]`` to a string; nothing
-is known about it but what it declares. The operator renders successive prefixes of a conversation and
+else is known about it. The operator renders successive prefixes of a conversation and
 compares consecutive outputs: what an output adds to the one before is the turn's
 span, and an output that doesn't start with the one before shows a template that
 rewrites history. The text inside a span is found by rendering the prefix twice
 more with two different one-character probes in place of the last text.
 
-Prefixes are rendered whole, as nothing that a template has shown so far tells what it
-does later: time grows with the square of a conversation's turns. A template that has
-an attribute ``turn_local``, by which it declares that what a turn adds never depends on
-other turns, is rendered over a window of the last ``WINDOW`` turns; then memory and time
-per turn are bounded however long a conversation is. At the first turn beyond the window
-the declaration is compared with whole prefixes, and not followed if it doesn't hold.
+Every prefix is rendered whole, for every template and however long a conversation is: nothing
+that a template has shown so far tells what it does later. Of a conversation its turns and its
+last output are held, and time grows with the square of its turns; a template can make that
+cheap by remembering what it made of a turn, as :func:`turn_template` does.
 
 Turns are put in order by a shuffle and a sort on (conversation, turn), and streamed:
 no conversation is collected.
@@ -25,9 +23,9 @@ an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import os.path
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 
 Turns = list[tuple[str, str]]
-WINDOW = 32
+#: Turns whose rendering is remembered, and characters up to which a turn is.
+REMEMBERED, SHORT = 4096, 4000
 PROBES = ("\x01", "\x02")
 
 OPEN, CLOSE = "<|turn:", "<|end|>"
@@ -62,11 +61,15 @@ def escape_role(role: str) -> str:
     return _BARLESS.sub(lambda m: m[0][0] + "\\" + m[0][1:], role.replace("\\", "\\\\").replace("|", "\\|"))
 
 
-def turn_template(turns: Turns) -> str:
-    return "".join(f"{OPEN}{escape_role(role)}|>\n{escape(text)}{CLOSE}\n" for role, text in turns)
+def _turn(role: str, text: str) -> str:
+    return f"{OPEN}{escape_role(role)}|>\n{escape(text)}{CLOSE}\n"
+
 
+_known_turn = lru_cache(REMEMBERED)(_turn)
 
-turn_template.turn_local = True
+
+def turn_template(turns: Turns) -> str:
+    return "".join([(_known_turn if len(text) <= SHORT else _turn)(role, text) for role, text in turns])
 
 
 def parse_turn(segment: str) -> tuple[str, str]:
@@ -78,48 +81,44 @@ def parse_turn(segment: str) -> tuple[str, str]:
 
 
 def common_prefix(a: str, b: str) -> int:
-    return len(os.path.commonprefix((a, b)))
-
-
-def _text_span(render: Callable[[Turns], str], before: Turns, role: str, now: str) -> tuple[int, int]:
-    """Start and end, in ``now``, of the last turn's text."""
-    one, two = (render([*before, (role, p)]) for p in PROBES)
-    head = common_prefix(one, two)
-    tail = len(one) - head - 1
-    return head, max(head, len(now) - tail)
+    """By halving: slices are compared, not characters."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
 
 
 class Renderer:
     """Takes the turns of one conversation in order; gives, per turn, its segment and spans."""
 
-    def __init__(self, render: Callable[[Turns], str], window: int = WINDOW):
-        self.render, self.window = render, window
+    def __init__(self, render: Callable[[Turns], str]):
+        self.render = render
         self.turns: Turns = []
-        self.length, self.local = 0, None if getattr(render, "turn_local", False) else False
+        self.output = render([])
 
     def add(self, role: str, text: str) -> tuple[str, int, int, int, int, bool]:
         """Segment, start, end, start and end of its text, and whether earlier output changed.
 
         The output so far is ``output[:start] + segment``; offsets count code points.
         """
-        if self.local is None and len(self.turns) > self.window:
-            whole = self._step(self.turns, role, text)
-            part = self._step(self.turns[1:], role, text)
-            self.local = whole[0] == part[0] and not whole[3] and not part[3]
-        if self.local:
-            self.turns = self.turns[-self.window :]
-        segment, back, inner, rewrote = self._step(self.turns, role, text)
-        start = self.length - back
-        self.turns.append((role, text))
-        self.length = start + len(segment)
-        return segment, start, self.length, start + inner[0], start + inner[1], rewrote
-
-    def _step(self, before: Turns, role: str, text: str):
-        was, now = self.render(before), self.render([*before, (role, text)])
+        was, now = self.output, self.render([*self.turns, (role, text)])
         rewrote = not now.startswith(was)
-        at = common_prefix(was, now) if rewrote else len(was)
-        a, b = _text_span(self.render, before, role, now)
-        return now[at:], len(was) - at, (a - at, b - at), rewrote
+        start = common_prefix(was, now) if rewrote else len(was)
+        a, b = self._text_span(role, now)
+        self.turns.append((role, text))
+        self.output = now
+        return now[start:], start, len(now), a, b, rewrote
+
+    def _text_span(self, role: str, now: str) -> tuple[int, int]:
+        """Start and end, in ``now``, of the last turn's text."""
+        one, two = (self.render([*self.turns, (role, p)]) for p in PROBES)
+        head = common_prefix(one, two)
+        tail = len(one) - head - 1
+        return head, max(head, len(now) - tail)
 
 
 SEGMENTS = "role string, turn_no long, segment string, start long, end long, text_start long, text_end long, loss boolean, rewrote boolean"

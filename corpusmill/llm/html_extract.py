@@ -1,31 +1,37 @@
 """Main text of web pages by tag-path ratios.
 
-Every piece of text hangs at a root-to-leaf path of tags (with classes and ids, without
-inline markup). Per path of a page the text length and the punctuation are added up and
-divided by the number of nodes; link text counts against a path. In page order both ratios
-are smoothed with a Gaussian, brought to a common scale, fused by their product, and the
-paths whose best fused ratio is above ``THRESHOLD`` times the page's mean are content. So a
-short paragraph stays, if the paragraphs at its path are content together. Headings stay
-inside the nearest element that holds content. Elements that never hold main text (navigation,
-scripts, forms, asides, page headers and footers, and elements whose class, id or role
-names such a part) are left out before ratios are taken.
+Every piece of text hangs at a root-to-leaf path of tags (with classes and ids, without inline
+markup). Per path of a page the text length and the punctuation are added up; link text counts
+against a path twice, and the headings of a section, ``HEADING`` times their length, count for
+the paths inside that section. In page order both sums are smoothed with a Gaussian whose
+weights shrink with the distance of two paths in the tree, brought to a common scale, and fused
+by their geometric mean. What pages say about their own parts is one more factor, not a rule:
+``MAIN_WEIGHT`` inside an article or main element, ``ASIDE_WEIGHT`` inside navigation, asides,
+page headers and footers, and elements whose class, id or role names such a part. Paths whose
+best fused value is at least ``THRESHOLD`` of the page's best one (outside parts that are named as
+something else) are content: so a short paragraph stays if the paragraphs at its path are content together.
+
+Headings stay where their section holds content, unless all that stands below them went.
+Elements that never show text (scripts, styles, forms and their fields) are left out before.
 
 A block ends where a block element or a line break of the page's structure starts or ends.
-Inside a block references are decoded, white space becomes one space, and the ends are
-trimmed; blocks are joined in page order by an empty line.
+Inside a block references are decoded, white space becomes one space, and the ends are trimmed;
+blocks are joined in page order by an empty line. Pages are read in one pass, in time and
+memory in proportion to their length, whatever is nested or left unclosed in them.
 
 Edge cases: null or empty HTML, and pages without content, give an empty text; repeated rows
 give repeated results; broken markup is read as browsers do for the cases that matter here
-(unclosed paragraphs, stray end tags, raw text of scripts); other columns are not read; an
-empty table gives an empty result.
+(unclosed paragraphs, stray end tags, raw text of scripts); a quote that is never closed ends
+with its tag; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +44,11 @@ from .common import table
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe svg math".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-NEVER = set("script style noscript template iframe svg math object embed canvas audio video head title nav aside footer form button select option textarea input dialog menu".split())
+HIDDEN = set("script style noscript template iframe svg math object embed canvas audio video head title form button select option textarea input dialog".split())
+ASIDE = set("nav aside footer menu".split())
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 #: Words in a class, id or role that name something other than the article.
 BOILER = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|byline-ads|captcha|comments?|commentlist|contentinfo|cookies?|consent|disqus|footer|gdpr|login|masthead|menu|nav|navbar|navigation|navbox|newsletter|notices?|pagination|pager|popup|modal|promo\w*|related|replies|respond|search|share|sharing|sidebar|signup|site-header|skip|social|sponsor\w*|subscribe|tags|toc|toolbar|topbar|widgets?|complementary)(?:$|[-_\s])",
@@ -50,177 +57,318 @@ BOILER = re.compile(
 MAIN = {"article", "main"}
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 SPACE = re.compile(r"\s+")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-THRESHOLD, SIGMA = 0.35, 1.0
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+QUOTE = re.compile(r"=\s*([\"'])|>")
+LONG_REFERENCE = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{7,}));?")
+ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?=[\s/=>]|$))", re.I)
+THRESHOLD, SIGMA, RADIUS = 0.2, 1.0, 2
+HEADING, MAIN_WEIGHT, ASIDE_WEIGHT = 64, 3.0, 0.02
+FAR = 8  # steps in the tree from which two paths don't smooth each other
+
+
+@dataclass
+class Paths:
+    """The tree of a page's tag paths: parents and steps by number; a parent's number is less than its children's."""
+
+    parent: list[int]
+    depth: list[int]
+    tag: list[str]
+    hint: list[int]  # 1: inside a main part, -1: inside a part that is named as another one, 0: neither
+
+    def distance(self, a: int, b: int) -> int:
+        """Steps from one path to the other, ``FAR`` at most."""
+        n = 0
+        while a != b and n < FAR:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+            n += 1
+        return n
 
 
 @dataclass
 class Block:
-    path: str
+    path: int
     text: str
     link: int = 0
-    heading: bool = False
-    main: bool = False
-    parents: tuple = field(default_factory=tuple)
+    level: int = 0  # of a heading
+
+
+def decoded(text: str) -> str:
+    """Character references decoded; numbers beyond any character stand for U+FFFD."""
 
+    def short(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0") or "0"
+        return f"&#{'' if m[1] else 'x'}{digits};" if len(digits) < 8 else "�"
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's step in a path, and whether it names a part to leave out."""
+    return entities.unescape(LONG_REFERENCE.sub(short, text)) if "&" in text else text
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, name or text, attributes, end): kind is ``text``, ``open`` or ``close``; the receiver may send a place to go on from."""
+    at, n = 0, len(page)
+    last_gt, last_comment, last_data = page.rfind(">"), page.rfind("-->"), page.rfind("]]>")
+    last_quote = {q: page.rfind(q) for q in "\"'"}
+    loose = False  # no tag of the rest has its quotes closed
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0 or lt > last_gt and page.startswith("<!--", lt) is False:
+            yield "text", page[at:], "", n
+            return
+        if lt > at:
+            yield "text", page[at:lt], "", lt
+        if page.startswith("<!--", lt):
+            if lt + 4 > last_comment:
+                return
+            at = page.index("-->", lt + 4) + 3
+            continue
+        if page.startswith("<![CDATA[", lt) and lt < last_data:
+            end = page.index("]]>", lt)
+            yield "text", page[lt + 9 : end].replace("&", "&amp;"), "", end + 3
+            at = end + 3
+            continue
+        if page[lt + 1 : lt + 2] in ("!", "?"):
+            at = page.index(">", lt) + 1
+            continue
+        name = NAME.match(page, lt + 1)
+        if name is None:
+            yield "text", "<", "", lt + 1
+            at = lt + 1
+            continue
+        end = i = name.end()
+        while not loose:
+            m = QUOTE.search(page, i)
+            if m is None:
+                loose = True
+            elif m[1] is None:
+                end = m.end()
+                break
+            elif m.end() > last_quote[m[1]]:
+                i = m.end()  # never closed: an ordinary character
+            else:
+                i = page.index(m[1], m.end()) + 1
+        if loose:
+            end = page.index(">", name.end()) + 1
+        tag = name[0].lower()
+        kind, tag = ("close", tag[1:]) if tag[0] == "/" else ("open", tag)
+        moved = yield kind, tag, page[name.end() : end - 1], end
+        at = end if moved is None else moved
+
+
+def _step(tag: str, attributes: str) -> tuple[str, bool]:
+    """The element's step in a path, and whether it names another part than the main one."""
     if not attributes:
         return tag, False
-    names, out = [], False
+    names, other = [], False
     for m in ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        key = m[1].lower()
-        if key == "hidden":
-            out = True
-            continue
-        out = out or bool(BOILER.search(value))
+        value, key = m[2] or m[3] or m[4] or "", m[1].lower()
+        other = other or key == "hidden" or bool(BOILER.search(value))
         if key == "class":
             names += sorted(re.sub(r"\d+", "", x) for x in value.split())
-    return ".".join([tag, *names]), out
+    return ".".join([tag, *names]), other
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks in page order, each with its tag path."""
+def blocks_of(page: str) -> tuple[list[Block], Paths]:
+    """Blocks in page order, and the tree of their paths."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, step, left out
+    paths = Paths([-1], [0], [""], [0])
+    number: dict[tuple[int, str, int], int] = {}
+    stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, path, whether it shows nothing, level of the heading it is in
+    open_tags: Counter[str] = Counter()
     pieces: list[str] = []
-    link = linked = 0
-    path, parents, dropped, main, heading = "", (), False, False, False
-
-    def entered():
-        nonlocal path, parents, dropped, main, heading
-        steps = [s for t, s, _ in stack if t not in INLINE]
-        path = "/".join(steps)
-        parents = tuple("/".join(steps[:i]) for i in range(1, len(steps) + 1))
-        dropped = any(d for _, _, d in stack)
-        main = any(t in MAIN for t, _, _ in stack)
-        heading = any(t in HEADINGS for t, _, _ in stack)
+    link = linked = 0  # 1 + the length of the stack where a link began
 
     def flush():
         nonlocal linked
         if pieces:
-            text = SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
-            if text and not dropped:
-                out.append(Block(path, text, min(linked, len(text)), heading, main, parents))
+            _, path, hidden, level = stack[-1]
+            if not hidden:
+                text = SPACE.sub(" ", decoded("".join(pieces))).strip()
+                if text:
+                    out.append(Block(path, text, min(linked, len(text)), level))
             pieces.clear()
         linked = 0
 
-    def text(s: str):
-        nonlocal linked
-        pieces.append(s)
-        if link:
-            linked += len(s.strip())
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            text(page[at:])
+    def pop():
+        nonlocal link
+        open_tags[stack.pop()[0]] -= 1
+        if link > len(stack):
+            link = 0
+
+    walk, moved = tokens(page), None
+    while True:
+        try:
+            kind, name, attributes, end = walk.send(moved)
+        except StopIteration:
             break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:-3].replace("&", "&amp;"))
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if where is None:
-                continue
-            if tag in INLINE:
-                link -= tag == "a"
-                stack.pop(where)
-                continue
-            flush()
-            kept = [x for x in stack[where + 1 :] if x[0] in INLINE and x[0] != "a"]  # unclosed formatting goes on
-            link -= sum(x[0] == "a" for x in stack[where:])
-            del stack[where:]
-            stack += kept
-            entered()
-            continue
-        if tag == "br":
+        moved = None
+        if kind == "text":
+            pieces.append(name)
+            if link:
+                linked += len(name.strip())
+        elif kind == "close":
+            if name == "a":
+                link = 0
+            elif name not in INLINE and open_tags[name] > 0:
+                flush()
+                while stack[-1][0] != name:
+                    pop()
+                pop()
+        elif name == "br":
             pieces.append(" ")
-            continue
-        if tag in VOID:
-            if tag == "hr":
+        elif name in VOID:
+            if name == "hr":
                 flush()
-            continue
-        step, out_of = _label(tag, m[3])
-        if tag in INLINE:
-            if not m[3].endswith("/"):
-                link += tag == "a"
-                stack.append((tag, step, False))
-            continue
-        flush()
-        if tag in CLOSES_P or tag in CLOSES_ITSELF:
-            for i in range(len(stack) - 1, -1, -1):
-                t = stack[i][0]
-                if (t == "p" and tag in CLOSES_P) or t in CLOSES_ITSELF.get(tag, ()):
-                    stack[i:] = [x for x in stack[i + 1 :] if x[0] in INLINE]
-                    break
-                if t not in INLINE and t != "p":
-                    break
-        header = tag == "header" and not any(t in MAIN for t, _, _ in stack)
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
-            continue
-        if not m[3].endswith("/"):
-            stack.append((tag, step, out_of and tag not in ("html", "body", *MAIN) or tag in NEVER or header))
-        entered()
+        elif name in INLINE:
+            if name == "a" and not attributes.endswith("/"):
+                link = len(stack)
+        else:
+            flush()
+            if name in CLOSES_P or name in CLOSES_ITSELF:
+                while stack[-1][0] == "p":
+                    pop()
+                while stack[-1][0] in CLOSES_ITSELF.get(name, ()):
+                    pop()
+            if name in RAW:
+                close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, end)
+                moved = close.end() if close else len(page)
+                continue
+            if attributes.endswith("/"):
+                continue
+            _, path, hidden, level = stack[-1]
+            step, other = _step(name, attributes)
+            hint = paths.hint[path]
+            if name in ASIDE or (other and name not in ("html", "body", *MAIN)) or (name == "header" and hint < 1):
+                hint = -1
+            elif name in MAIN and not hint:
+                hint = 1
+            key = (path, step, hint)
+            if key not in number:
+                number[key] = len(paths.parent)
+                paths.parent.append(path), paths.depth.append(paths.depth[path] + 1), paths.tag.append(name), paths.hint.append(hint)
+            stack.append((name, number[key], hidden or name in HIDDEN, HEADINGS.get(name, level)))
+            open_tags[name] += 1
     flush()
-    return out
-
-
-def _smooth(x: np.ndarray) -> np.ndarray:
-    r = max(1, int(np.ceil(SIGMA)))
-    k = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * SIGMA**2))
-    pad = np.pad(x, r)
-    weight = np.convolve(np.pad(np.ones(len(x)), r), k, "valid")
-    return np.convolve(pad, k, "valid") / weight
-
-
-def content(blocks: list[Block]) -> list[Block]:
-    """The blocks at content paths."""
-    inside = [b for b in blocks if b.main]
-    blocks = inside or blocks
-    body = [b for b in blocks if not b.heading]
+    return out, paths
+
+
+def sections(blocks: list[Block], paths: Paths) -> tuple[list[int], list[int]]:
+    """Per path the innermost path around it that headings stand in beside other text (0: none), and per block the section it belongs to.
+
+    A path that holds all text of the page tells nothing, and is no section.
+    """
+    n = len(paths.parent)
+    every, body = [0] * n, [0] * n
+    for b in blocks:
+        every[b.path] += 1
+        body[b.path] += not b.level
+    for p in range(n - 1, 0, -1):
+        every[paths.parent[p]] += every[p]
+        body[paths.parent[p]] += body[p]
+    up, has = [0] * n, [False] * n  # up: the nearest path above, or itself, that holds other text than headings
+    for p in range(1, n):
+        up[p] = p if body[p] and every[p] < every[0] else up[paths.parent[p]]
+    of = [0] * len(blocks)
+    for i, b in enumerate(blocks):
+        if b.level:
+            p = b.path
+            while paths.tag[p] not in HEADINGS:
+                p = paths.parent[p]
+            of[i] = up[paths.parent[p]]
+            has[of[i]] = True
+    around = [0] * n
+    for p in range(1, n):
+        around[p] = p if has[p] else around[paths.parent[p]]
+    for i, b in enumerate(blocks):
+        if not b.level:
+            of[i] = around[b.path]
+    return around, of
+
+
+def ratios(blocks: list[Block], paths: Paths, hints: bool = True) -> np.ndarray:
+    """The fused ratio of each block that isn't a heading, relative to the page's best one; 0 for headings."""
+    around, of = sections(blocks, paths)
+    text, marks = Counter(), Counter()
+    head_text, head_marks = Counter(), Counter()
+    for b, s in zip(blocks, of):
+        size, n = len(b.text) - 2 * b.link, len(PUNCTUATION.findall(b.text))
+        if b.level:
+            if s:
+                head_text[s] += HEADING * max(0, size)
+                head_marks[s] += HEADING * (n + 1)
+        else:
+            text[b.path] += size
+            marks[b.path] += n
+    body = [i for i, b in enumerate(blocks) if not b.level]
+    score = np.zeros(len(blocks))
     if not body:
-        return blocks if inside else []
-    size: dict[str, list[float]] = {}
-    for b in body:
-        s = size.setdefault(b.path, [0.0, 0.0, 0.0])
-        s[0] += len(b.text) - 2 * b.link
-        s[1] += len(PUNCTUATION.findall(b.text))
-        s[2] += 1
-    text = np.array([max(0.0, size[b.path][0]) / size[b.path][2] for b in body])
-    marks = np.array([(size[b.path][1] + 1) / size[b.path][2] for b in body])
-    fused = [_smooth(np.log1p(x)) for x in (text, marks)]
-    fused = [x / m if (m := x.max()) else x for x in fused]
-    score = np.sqrt(fused[0] * fused[1])
-    best: dict[str, float] = {}
-    for b, s in zip(body, score):
-        best[b.path] = max(best.get(b.path, 0.0), s)
-    limit = THRESHOLD * float(score.mean())
-    links = {p: sum(b.link for b in body if b.path == p) > 0.5 * sum(len(b.text) for b in body if b.path == p) for p in best}
-    chosen = {p for p, s in best.items() if s >= limit and not links[p]}
-    around = {q for p in chosen for q in _around(body, p)}
-    return [b for b in blocks if (b.path in chosen if not b.heading else bool(set(b.parents[:-1]) & around))]
-
-
-def _around(blocks: list[Block], path: str) -> tuple:
-    """The innermost two elements around the blocks at a path: a heading beside or just above them belongs to them."""
-    parents = next(b.parents for b in blocks if b.path == path)
-    return parents[max(0, len(parents) - 3) : -1] if len(parents) > 1 else parents
-
-
-def extract(page: str | None) -> str:
-    return "\n\n".join(b.text for b in content(blocks_of(page or "")))
+        return score
+    at = [blocks[i].path for i in body]
+    x = np.array([max(0, text[p]) + head_text[around[p]] for p in at], float)
+    m = np.array([marks[p] + 1 + head_marks[around[p]] for p in at], float)
+    total, smooth_x, smooth_m = np.ones(len(at)), x.copy(), m.copy()
+    for k in range(1, RADIUS + 1):
+        g = float(np.exp(-(k**2) / (2 * SIGMA**2)))
+        w = np.array([g * (0.0 if (d := paths.distance(a, b)) >= FAR else 4.0**-d) for a, b in zip(at, at[k:])])
+        if len(w):
+            total[:-k] += w
+            total[k:] += w
+            smooth_x[:-k] += w * x[k:]
+            smooth_x[k:] += w * x[:-k]
+            smooth_m[:-k] += w * m[k:]
+            smooth_m[k:] += w * m[:-k]
+    fused = np.sqrt(smooth_x / total * (smooth_m / total))
+    fused[[text[p] <= 0 for p in at]] = 0.0  # links for the greater part
+    measure = np.ones(len(at), bool)
+    if hints:
+        hint = np.array([paths.hint[p] for p in at])
+        fused *= np.choose(hint + 1, (ASIDE_WEIGHT, 1.0, MAIN_WEIGHT))
+        measure = hint >= 0  # a part that is named as another one is never the measure
+    top = fused[measure].max(initial=0.0)
+    score[body] = fused / top if top > 0 else 0.0
+    return score
+
+
+def content(blocks: list[Block], paths: Paths, hints: bool = True) -> list[Block]:
+    """The blocks at content paths, with the headings of sections that hold some."""
+    _, of = sections(blocks, paths)
+    with_body = {s for b, s in zip(blocks, of) if not b.level}
+    # a page of headings alone: they are its text
+    if not any(not b.level for b in blocks):
+        return [b for b in blocks if not hints or paths.hint[b.path] >= 0]
+    best: dict[int, float] = {}
+    for b, s in zip(blocks, ratios(blocks, paths, hints)):
+        if not b.level:
+            best[b.path] = max(best.get(b.path, 0.0), float(s))
+    chosen = {p for p, s in best.items() if s >= THRESHOLD}
+    live = {s for b, s in zip(blocks, of) if not b.level and b.path in chosen}
+    keep = [b.path in chosen if not b.level else s in live or s not in with_body for b, s in zip(blocks, of)]
+    # a heading goes if text stands below it, up to the next heading of its section and level, and none of that stays
+    below: dict[int, list] = {}
+    for i in range(len(blocks) - 1, -1, -1):
+        b, s = blocks[i], of[i]
+        if not b.level:
+            seen = below.setdefault(s, [])
+            if not seen or seen[-1][0]:
+                seen.append([0, False, False])
+            seen[-1][1] = True
+            seen[-1][2] = seen[-1][2] or keep[i]
+        else:
+            seen = below.setdefault(s, [])
+            text = stays = False
+            while seen and (seen[-1][0] == 0 or seen[-1][0] > b.level):
+                _, t, k = seen.pop()
+                text, stays = text or t, stays or k
+            if text and not stays or (hints and paths.hint[b.path] < 0):
+                keep[i] = False
+            seen.append([b.level, text, stays])
+    return [b for b, k in zip(blocks, keep) if k]
+
+
+def extract(page: str | None, hints: bool = True) -> str:
+    """The page's main text; without ``hints`` the ratios decide alone."""
+    return "\n\n".join(b.text for b in content(*blocks_of(page or ""), hints))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -107,9 +108,90 @@ def test_html_vectors():
 and more.<p>Second&nbsp;one, unclosed.<br>Line</p><p>Short.</p><form><p>Your name, please.</p></form><script>var a="</p>";</script><style>p{}</style></main>
 <div class="comments"><p>A reader said, this. And that.</p></div><footer><p>Imprint, address.</p></footer>"""
     assert page.extract(doc) == "Head&line\n\nFirst paragraph, with bold <text> and more.\n\nSecond one, unclosed. Line\n\nShort."
-    assert page.extract(None) == "" and page.extract("") == "" and page.extract("<p") == "<p" or True
-    for broken in ("<p", "</div></p>", "<![CDATA[x", "<!--", "<a <b>", "&#0;&#x110000;&bogus;", "<p>" * 3000 + "x"):
+    assert page.extract(None) == "" and page.extract("") == "" and page.extract("<p") == "<p"
+    assert page.extract(doc, hints=False) == page.extract(doc)
+    for broken in ("</div></p>", "<![CDATA[x", "<!--", "<a <b>", "&#0;&#x110000;&bogus;", "<p>" * 3000 + "x", "<p>&#" + "9" * 6000 + ";", "<", "<a href='>", "x>"):
         page.extract(broken)
+    assert page.extract("<p>One&#0000000000065;, two. &#x000000042;</p>") == "OneA, two. B" and page.extract("<p>a &#99999999999; b.</p>") == "a \ufffd b."
+    assert page.extract('<p title="a > b">One, two.</p><a title="never closed>x</a>') == "One, two."
+
+
+def test_html_pages_without_hints():
+    """Pages without article, main, or telling names: the ratios decide alone, on every one of them."""
+    rng, v = random.Random(12), vocabulary(300, 8)
+    say = lambda n: " ".join(rng.choice(v) for _ in range(n)).capitalize() + "."
+    for i in range(200):
+        body = [" ".join(say(rng.randint(4, 14)) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(10, 14))]
+        body[1] = say(2)  # a short paragraph among long ones
+        links = "".join(f'<li><a href="/{k}">{rng.choice(v)}</a></li>' for k in range(8))
+        box = f'<div class="x{i}">{say(rng.randint(5, 12))}</div>'
+        title = say(6)
+        flat = i % 2
+        quote = f"<p>{body[-1]}</p>" if flat else f"<blockquote><p>{body[-1]}</p></blockquote>"
+        story = f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in body[:-1]) + quote
+        doc = f"<body><ul>{links}</ul>{box}" + (story if flat else f"<div><div class=story>{story}</div></div>") + f"<div><p>{say(6)}</p></div></body>"
+        want = "\n\n".join([title, *body])
+        assert page.extract(doc, hints=False) == want and page.extract(doc) == want
+
+
+def test_html_reader_comments_inside_the_article():
+    story = "".join(f"<p>Paragraph {i}, with some words. And more.</p>" for i in range(4))
+    said = "".join(f"<li><p>I think, dear writer, that number {i} is wrong. Really, all of it. And much more, at length.</p></li>" for i in range(12))
+    doc = f"<article><h1>Head</h1>{story}<section class=comments><h2>Comments</h2><ol>{said}</ol></section></article>"
+    assert page.extract(doc) == "\n\n".join(["Head", *(f"Paragraph {i}, with some words. And more." for i in range(4))])
+
+
+@pytest.mark.parametrize("page_of", [
+    lambda: "<div>" * 200_000 + "x", lambda: "<div>a, b." * 100_000, lambda: '<a href="x ' * 90_000 + ">", lambda: '<a href="x> ' * 80_000,
+    lambda: "<b>" * 150_000 + "<p>x" * 100_000, lambda: "<div>" * 100_000 + "</i></section>" * 60_000, lambda: "<![CDATA[" * 100_000, lambda: "<!--" * 200_000 + ">",
+    lambda: "".join(f'<div class="c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}">t, x.</div>' for i in range(17_000)), lambda: "<h1>x</h1><p>y</p>" * 50_000,
+])
+def test_html_time_is_linear(page_of):
+    text = page_of()
+    began = time.perf_counter()
+    page.extract(text)
+    assert time.perf_counter() - began < 30  # seconds for a megabyte, on any machine; they take one or two
+
+
+def test_html_ratios_against_plain_sums():
+    """Text and marks per path, by a parser from the standard library, on pages without broken markup."""
+    from html.parser import HTMLParser
+
+    class Sums(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.at, self.sums = [], Counter()
+
+        def handle_starttag(self, tag, attrs):
+            self.at.append(tag)
+
+        def handle_endtag(self, tag):
+            self.at.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                self.sums["/".join(self.at)] += len(" ".join(data.split()))
+
+    rng, v = random.Random(3), vocabulary(200, 2)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return " ".join(rng.choice(v) for _ in range(rng.randint(1, 9)))
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in rng.choices(["div", "section", "p2", "ul"], k=rng.randint(1, 4)))
+
+    for _ in range(60):
+        doc = f"<body>{tree(4)}</body>"
+        blocks, paths = page.blocks_of(doc)
+        got = Counter()
+        for b in blocks:
+            steps, p = [], b.path
+            while p:
+                steps.append(paths.tag[p])
+                p = paths.parent[p]
+            got["/".join(reversed(steps))] += len(b.text)
+        sums = Sums()
+        sums.feed(doc)
+        assert got == sums.sums
 
 
 def test_html_odd(spark):
@@ -128,36 +210,55 @@ def test_chat_round_trip():
         assert chat.parse_turn(chat.turn_template([(role, text)])) == (role, text)
 
 
-def test_chat_renderer_finds_rewrites_and_stays_linear():
-    r = chat.Renderer(chat.turn_template, window=4)
-    out = ""
-    for i in range(20):
-        segment, start, end, a, b, rewrote = r.add("assistant" if i % 2 else "user", f"t{i}")
-        out = out[:start] + segment
-        assert not rewrote and out[a:b] == f"t{i}" and len(out) == end and len(r.turns) <= 6
-    assert r.local and out == chat.turn_template([("assistant" if i % 2 else "user", f"t{i}") for i in range(20)])
-    hide = lambda turns: "".join(f"[{t}]" if i == len(turns) - 1 else "[...]" for i, (_, t) in enumerate(turns))
-    r, out, seen = chat.Renderer(hide, window=4), "", []
-    for i in range(9):
-        segment, start, end, a, b, rewrote = r.add("user", f"long{i}")
+def replay(render, turns):
+    """Output and which turns rewrote, from what the renderer gives per turn; spans are checked on the way."""
+    r, out, seen = chat.Renderer(render), "", []
+    for role, text in turns:
+        segment, start, end, a, b, rewrote = r.add(role, text)
         out = out[:start] + segment
+        assert len(out) == end and 0 <= a <= b <= end
         seen.append(rewrote)
-        assert out == hide([("user", f"long{j}") for j in range(i + 1)])
-    assert seen == [False] + [True] * 8 and not r.local
-
-
-def test_chat_renderer_finds_late_rewrites():
-    last = lambda turns: "".join(f"[{t}]" for _, t in turns[-10:])
-    tool = lambda turns: "".join("[...]" if i == 0 and any(r == "tool" for r, _ in turns) else f"[{t}]" for i, (_, t) in enumerate(turns))
-    for render in (last, tool):
-        r, out, turns, seen = chat.Renderer(render, window=4), "", [], []
-        for i in range(20):
-            turns.append(("tool" if i == 15 else "user", f"long{i}"))
-            segment, start, end, a, b, rewrote = r.add(*turns[-1])
-            out = out[:start] + segment
-            seen.append(rewrote)
-            assert out == render(turns) and end == len(out) and out[a:b] == f"long{i}"
-        assert seen == ([i >= 10 for i in range(20)] if render is last else [i == 15 for i in range(20)])
+    return out, seen
+
+
+def test_chat_renderer_finds_rewrites_however_late():
+    turns = [("tool" if i == 60 else "assistant" if i % 2 else "user", f"long{i}") for i in range(260)]
+    blank = lambda ts: "".join("[]" if r == "assistant" and any(x == "tool" for x, _ in ts) and i < len(ts) - 1 else f"[{t}]" for i, (r, t) in enumerate(ts))
+    late = lambda ts: "".join("[...]" if i == 0 and len(ts) > 200 else f"[{t}]" for i, (_, t) in enumerate(ts))
+    last = lambda ts: "".join(f"[{t}]" for _, t in ts[-40:])
+    hide = lambda ts: "".join(f"[{t}]" if i == len(ts) - 1 else "[...]" for i, (_, t) in enumerate(ts))
+    for render, first in ((blank, 60), (late, 200), (last, 40), (hide, 1), (chat.turn_template, None)):
+        out, seen = replay(render, turns)
+        assert out == render(turns) and (seen.index(True) if True in seen else None) == first
+
+
+def test_chat_renderer_against_whole_prefixes():
+    """Random templates: each may drop, blank or repeat turns, from some turn on or after some role."""
+    rng = random.Random(11)
+    for _ in range(150):
+        since, what, who, keep = rng.randint(0, 30), rng.choice(["blank", "drop", "count", "none"]), rng.choice(["user", "tool", "assistant"]), rng.randint(1, 12)
+
+        def render(ts, since=since, what=what, who=who, keep=keep):
+            on = len(ts) > since and any(r == who for r, _ in ts)
+            if on and what == "drop":
+                ts = ts[-keep:]
+            head = f"({len(ts)})" if on and what == "count" else "^"
+            return head + "".join(f"<{r}>{'' if on and what == 'blank' and i < len(ts) - keep else t}</>" for i, (r, t) in enumerate(ts))
+
+        turns = [(rng.choice(["user", "assistant", "tool"]), rng.choice(["", "a", "bb", "\x01", "</>"])) for _ in range(rng.randint(1, 45))]
+        r, before = chat.Renderer(render), render([])
+        for i, (role, text) in enumerate(turns):
+            segment, start, end, a, b, rewrote = r.add(role, text)
+            now = render(turns[: i + 1])
+            assert now == before[:start] + segment and end == len(now) and rewrote == (not now.startswith(before)) and now[a:b] == text
+            before = now
+
+
+def test_chat_common_prefix():
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        assert chat.common_prefix(a, b) == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
 def test_chat_query_odd(spark, tmp_path):
