@@ -18,7 +18,11 @@ row key, path, place and step, so that a row's samples don't depend on how rows
 
 Work is done for all documents of a slice at once in numpy, on lattices of distinct words
 (a word keeps the spaces before it, and a line break is one): pieces don't cross words, so the
-lattice of a text is the chain of its words' lattices. Decoding gives back every text exactly.
+lattice of a text is the chain of its words' lattices. A task keeps the lattices of up to
+``KEPT_NODES`` characters of words. Sums are taken within a node or along a document's own path,
+never across them, and masses carry their own exponents, so that words of any length have the
+same arithmetic: a row's samples and their numbers are the same bit by bit whatever rows stand
+beside it. Decoding gives back every text exactly.
 
 Edge cases: null counts as empty, and an empty text has one segmentation, without pieces; a text
 with fewer than k segmentations gives as many rows as it has, with inclusion score 0; repeated
@@ -48,7 +52,9 @@ from .words import U, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 1.0, 17
 SLICE_CHARS, REUSE, SLOT_BITS = 500_000, 8, 20
-LEVEL, PLAIN_CHARS, DEEP = 3.0, 150, 60.0
+KEPT_NODES, BLOCK, SHIFT, NEAR = 1_000_000, 400, 4, 64
+#: No exponential variable drawn from 53 bits has a logarithm below this.
+LEAST_LOG_NOISE = -37.5
 MARK, LITERAL_MARK = "▁", "\udc81"  # the space mark, and what stands for a literal one inside the operator
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
@@ -67,7 +73,7 @@ class Pieces:
     fallback: float
     slots: np.ndarray  # hash table of all pieces and of what they start with: hashes, 0 where empty
     values: np.ndarray  # the piece of each slot, -1 for a mere start
-    weights: np.ndarray  # by id
+    weights: np.ndarray  # by id, not as logarithms
 
     @staticmethod
     def hash_step(h: np.ndarray, char: np.ndarray) -> np.ndarray:
@@ -106,7 +112,7 @@ class Pieces:
             slots[at], values[at] = h, i
         weights = np.zeros(n)
         for t, i in ids.items():
-            weights[i] = weight[t]
+            weights[i] = math.exp(weight[t])
         sizes = np.array([len(t) for t in texts], np.int64)
         return Pieces(ids, weight, np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes, byte0, max(map(len, ids)), -alpha * math.log(n + 10), slots, values, weights)
 
@@ -143,98 +149,158 @@ def _uniform(*parts) -> np.ndarray:
     x = U(0x9E3779B97F4A7C15)
     for p in parts:
         x = mix(np.asarray(x ^ p, U) * U(0xD1342543DE82EF95) + U(1))
-    return ((x >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return _unit(x)
 
 
-_STEPS = np.arange(4096, dtype=U) * U(0x9E3779B97F4A7C15)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """In (0, 1), from 64 random bits each."""
+    return ((x >> U(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
-def _log_noise(seed: int, path: int, n: int) -> np.ndarray:
-    """Logarithms of n exponential variables."""
-    steps = _STEPS[:n] if n <= len(_STEPS) else np.arange(n, dtype=U) * U(0x9E3779B97F4A7C15)
-    x = mix(steps + U((seed ^ (path + 2) * 0xD1342543DE82EF95) % 2**64))
-    return np.log(-np.log(((x >> U(11)).astype(np.float64) + 0.5) * 2.0**-53))
+def _log_noise(seed: int, path: int, steps: np.ndarray) -> np.ndarray:
+    """Logarithms of the exponential variables of some steps."""
+    return np.log(-np.log(_unit(mix(steps.astype(U) * U(0x9E3779B97F4A7C15) + U((seed ^ (path + 2) * 0xD1342543DE82EF95) % 2**64)))))
 
 
-class Slice:
-    """The lattices of some documents, end to end, and the search over them."""
+class _Numbers(dict):
+    """Words by the order in which they were met."""
 
-    def __init__(self, texts: list[str], keys: np.ndarray, pieces: Pieces, seed: int):
-        words = [words_of(t) for t in texts]
-        self.size = np.array([len(w) for w in words], np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(self.size)])
-        number: dict[str, int] = {}
-        self.word = np.array([number.setdefault(w, len(number)) for w in itertools.chain.from_iterable(words)], np.int64)
-        self._lattices(list(number), pieces)
-        self.seed = mix(keys.astype(U) ^ U(seed))
-        self.last = self.first[1:][self.word]
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Lattices:
+    """The lattices of distinct words, end to end: nodes are characters, edges are pieces, by node and length."""
+
+    COLUMNS = {"length": np.int16, "piece": np.int32, "owner": np.int32, "key": U, "p": np.float64, "low": np.float64}
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.data = {c: np.empty(0, t) for c, t in self.COLUMNS.items()}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words; memory is kept for the next ones."""
+        self.number = _Numbers()
+        self.words = self.nodes = self.edges = 0
+        self.first, self.edge = np.zeros(1, np.int64), np.zeros(1, np.int64)  # first node of each word, first edge of each node
+        for name, a in self.data.items():
+            setattr(self, name, a[:0])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers; lattices of new words are built."""
+        known = len(self.number)
+        out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if len(self.number) > known:
+            self._add(list(itertools.islice(self.number, known, None)))
+        return out
+
+    def _put(self, name: str, values: np.ndarray) -> None:
+        a, n = self.data[name], self.edges + len(values)
+        if n > len(a):
+            more = np.empty(max(n, 2 * len(a)), a.dtype)
+            more[: self.edges] = a[: self.edges]
+            self.data[name] = a = more
+        a[self.edges : n] = values
+        setattr(self, name, a[:n])
 
-    def _lattices(self, words: list[str], pieces: Pieces) -> None:
-        """Nodes (characters of distinct words) and edges (pieces), by node and length."""
+    def _add(self, words: list[str]) -> None:
+        pieces = self.pieces
         text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         size = np.fromiter(map(len, words), np.int64, len(words))
-        self.first = np.concatenate([[0], np.cumsum(size)])
-        end = np.repeat(self.first[1:], size)
+        last = np.cumsum(size)
         nodes = len(text)
-        at, h, parts = np.arange(nodes), np.zeros(nodes, U), []
+        room = np.repeat(last, size) - np.arange(nodes)  # characters to the end of the word
+        at, h, parts, many = np.arange(nodes), np.zeros(nodes, U), [], []
+        degree = np.zeros(nodes, np.int64)
         for length in range(1, pieces.longest + 1):
-            fits = at + length <= end[at]
+            fits = room[at] >= length
             at, h = at[fits], h[fits]
-            h = Pieces.hash_step(h, text[at + length - 1])
+            h = Pieces.hash_step(h, text[at + (length - 1)])
             known, k = pieces.find(h)
             at, h = at[known], h[known]
             full = np.flatnonzero(k >= 0)
-            k = k[full]
-            parts.append((at[full], np.full(len(full), length), k, pieces.weights[k]))
+            k, here = k[full], at[full]
             if length == 1:  # characters without a piece
                 none = np.ones(nodes, bool)
-                none[at[full]] = False
+                none[here] = False
                 odd = np.flatnonzero(none)
-                char = np.where(text[odd] == ord(LITERAL_MARK), ord(MARK), text[odd])
-                bytes_of = 1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)
-                parts.append((odd, np.ones(len(odd), np.int64), -1 - char, pieces.fallback * bytes_of))
+                here, k = np.concatenate([here, odd]), np.concatenate([k, -1 - np.where(text[odd] == ord(LITERAL_MARK), ord(MARK), text[odd])])
+            parts.append((here, k, degree[here]))
+            many.append(len(here))
+            degree[here] += 1
             if not len(at):
                 break
-        start, length, piece, weight = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order = np.argsort(start, kind="stable")
-        start, self.length, self.piece, weight = start[order], length[order], piece[order], weight[order]
-        degree = np.bincount(start, minlength=nodes)
-        self.edge = np.concatenate([[0], np.cumsum(degree)])
-        self.owner = start
-        target = start + self.length
-        target[target == end[start]] = nodes
-        # backward sums, all words at once, by the distance of nodes from the ends of their words;
-        # not as logarithms, but scaled by LEVEL per character, unless a word is too long for that
-        far = end - np.arange(nodes)
-        by = np.argsort(far.astype(np.uint16) if not nodes or size.max() < 1 << 16 else far, kind="stable")
-        plain = not nodes or size.max() <= PLAIN_CHARS
-        if plain:
-            weight = np.exp(weight + LEVEL * self.length)
-        mass = np.full(nodes + 1, 1.0 if plain else 0.0)
+        edge = np.concatenate([[0], np.cumsum(degree)])
+        place = np.concatenate([edge[here] + rank for here, _, rank in parts])
+        start, piece, length = (np.empty(len(place), np.int64) for _ in range(3))
+        start[place], piece[place] = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+        length[place] = np.repeat(np.arange(1, len(many) + 1), many)
+        weight = pieces.weights[piece]
+        odd = np.flatnonzero(piece < 0)
+        char = -1 - piece[odd]
+        weight[odd] = np.exp(pieces.fallback * (1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)))
+        target = start + length
+        target[length == room[start]] = nodes
+        # backward sums, all words at once, by the distance of nodes from the ends of their words; a mass is
+        # mass * 2 ** (power - SHIFT * distance), so that no word is too long for it
+        by = np.argsort(room.astype(np.uint16) if size.max() < 1 << 16 else room, kind="stable")
+        weight = weight * 2.0 ** (SHIFT * length)
+        mass, power = np.ones(nodes + 1), np.zeros(nodes + 1, np.int32)
         lo = 0
-        for hi in np.cumsum(np.bincount(far)[1:]) if nodes else ():
+        for far, hi in enumerate(np.cumsum(np.bincount(room)[1:]).tolist(), 1):
             node = by[lo:hi]
             lo = hi
             n = degree[node]
             head = np.cumsum(n) - n
-            e = np.repeat(self.edge[node] - head, n) + np.arange(int(head[-1] + n[-1]))
-            if plain:
-                mass[node] = np.add.reduceat(weight[e] * mass[target[e]], head)
+            e = np.repeat(edge[node] - head, n) + np.arange(int(head[-1] + n[-1]))
+            to = target[e]
+            if far <= NEAR:
+                mass[node] = np.add.reduceat(weight[e] * mass[to], head)
             else:
-                value = weight[e] + mass[target[e]]
-                top = np.maximum.reduceat(value, head)
-                mass[node] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), head))
-        p = np.minimum(1.0, weight * mass[target] / mass[start] if plain else np.exp(weight + mass[target] - mass[start]))
-        self.logp = np.log(np.maximum(p, 1e-300))
-        total = np.concatenate([[0.0], np.cumsum(p)])
-        self.low = total[:-1] - total[self.edge[start]]
-        cum = self.low + p
-        cum[self.edge[1:] - 1] = 1.0
-        self.cum = start + np.minimum(cum, 1.0)
-        self.scale = 1 / np.maximum(p, 1e-300)
-        with np.errstate(divide="ignore"):
-            self.rest = np.log1p(-p)  # log of what the other edges of the node weigh
-        self.rest[degree[start] == 1] = -np.inf
+                top = np.maximum.reduceat(power[to], head)
+                mass[node], more = np.frexp(np.add.reduceat(np.ldexp(weight[e] * mass[to], power[to] - np.repeat(top, n)), head))
+                power[node] = top + more
+        p = weight * mass[target] / mass[start]
+        if lo and far > NEAR:
+            p = np.ldexp(p, power[target] - power[start])
+        p = np.clip(p, 1e-300, 1.0)
+        p[edge[:-1][degree == 1]] = 1.0
+        low = np.zeros(len(p))  # of each node's edges, added up one after another
+        node = np.flatnonzero(degree > 1)
+        for rank in range(1, int(degree.max())):
+            e = edge[node] + rank
+            low[e] = low[e - 1] + p[e - 1]
+            node = node[degree[node] > rank + 1]
+        cum = np.minimum(low + p, 1.0)
+        cum[edge[1:] - 1] = 1.0
+        start += self.nodes
+        for name, values in (("length", length), ("piece", piece), ("owner", start), ("key", self.keys(start, cum)), ("p", p), ("low", low)):
+            self._put(name, values)
+        self.first = np.concatenate([self.first, self.nodes + last])
+        self.edge = np.concatenate([self.edge, self.edges + edge[1:]])
+        self.words, self.nodes, self.edges = self.words + len(words), self.nodes + nodes, self.edges + len(p)
+
+    @staticmethod
+    def keys(node: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Nodes and shares of one (rounded down to 2 ** -32) as integers in order: the same comparison at every node."""
+        return (node.astype(U) << U(33)) + (share * 2.0**32).astype(U)
+
+
+class Slice:
+    """The lattices of some documents, end to end, and the search over them."""
+
+    def __init__(self, texts: list[str], keys: np.ndarray, lattices: Lattices, seed: int):
+        words = [words_of(t) for t in texts]
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.size)])
+        self.lattices = at = lattices
+        self.word = at.numbers(list(itertools.chain.from_iterable(words)))
+        self.edge, self.first, self.length, self.piece, self.owner = at.edge, at.first, at.length, at.piece, at.owner
+        self.key, self.p, self.low = at.key, at.p, at.low
+        self.last = self.first[1:][self.word]
+        self.seed = mix(keys.astype(U) ^ U(seed))
 
     def draw(self, doc: np.ndarray, word: np.ndarray, node: np.ndarray, path: int) -> tuple[np.ndarray, np.ndarray]:
         """Paths from the nodes to the ends of their words: edges in order, and of which word each is.
@@ -243,6 +309,8 @@ class Slice:
         interval, is uniform again.
         """
         steps, counts = [], np.zeros(len(word), np.int64)
+        if not len(word):
+            return counts, counts
         last = self.last[word]
         seeds = self.seed[doc] + U(path * 0xA0761D6478BD642F % 2**64)
         place = (word - self.begin[doc]).astype(U)
@@ -252,10 +320,14 @@ class Slice:
         while len(at):
             if step % REUSE == 0:
                 u = _uniform(seeds[at], place[at] * U(1 << 20) + U(step))
-            e = np.minimum(np.searchsorted(self.cum, node + u, side="right"), self.edge[node + 1] - 1)
+            e, q = self.edge[node], Lattices.keys(node, u)
+            more = np.flatnonzero(self.key[e] <= q)
+            while len(more):
+                e[more] += 1
+                more = more[self.key[e[more]] <= q[more]]
             steps.append((at, e))
             counts[at] += 1
-            u = np.clip((u - self.low[e]) * self.scale[e], 0.0, 1 - 2.0**-40)
+            u = np.clip((u - self.low[e]) / self.p[e], 0.0, 1 - 2.0**-33)
             node = node + self.length[e]
             live = node < last[at]
             at, node, u = at[live], node[live], u[live]
@@ -286,7 +358,7 @@ class Slice:
                 e, w = found[d][source][0], found[d][source][3]
                 node = int(self.owner[e[t]])
                 side = [x for x in range(int(self.edge[node]), int(self.edge[node + 1])) if x not in out]
-                p = np.exp(self.logp[side])
+                p = self.p[side]
                 u = float(_uniform(self.seed[d : d + 1], U(path), U(0xC401CE))[0])
                 pick = side[min(int(np.searchsorted(np.cumsum(p) / p.sum(), u)), len(side) - 1)]
                 word = int(w[t])
@@ -310,29 +382,39 @@ class Slice:
 
     def _take(self, heap: list, found: list, d: int, edges: np.ndarray, owner: np.ndarray, value: float, t: int, out: frozenset | set | None, k: int, path: int) -> None:
         """Add a path with its perturbed value, and what leaves it from edge t on to the queue."""
-        lp = np.cumsum(self.logp[edges])
-        above = float(lp[t - 1]) if t else 0.0
-        # what lies so far down that the weight of all before is below exp(-DEEP) can't be among the best (the chance is under 1e-20)
-        n = min(len(edges), len(lp) - int(np.searchsorted(lp[::-1], above - DEEP)) + 1) - t
-        mass = self.rest[edges[t : t + n]]
-        mass[1:] += lp[t : t + n - 1]
-        if n:
-            mass[0] += above
-        if out is not None and n:  # at edge t more than one piece is taken
-            node = int(self.owner[edges[t]])
-            left = [x for x in range(int(self.edge[node]), int(self.edge[node + 1])) if x not in out]
-            mass[0] = above + math.log(max(1e-300, float(np.exp(self.logp[left]).sum()))) if left else -math.inf
-        values = -np.logaddexp(-value, _log_noise(int(self.seed[d]), path, n) - mass)
+        lp = np.cumsum(np.log(self.p[edges])) if len(edges) else np.zeros(0)
         source = len(found)
         found.append((edges, float(lp[-1]) if len(lp) else 0.0, value, owner))
         need = k + 1 - len(found)
-        if need <= 0 or not len(values):
+        if need <= 0 or t >= len(edges):
             return
-        best = np.argpartition(-values, need - 1)[:need] if need < len(values) else np.arange(len(values))
-        for i in best.tolist():
-            if values[i] > -math.inf and mass[i] > -math.inf:
+
+        def exits(lo: int, hi: int) -> np.ndarray:
+            """Logarithms of noise over mass of what leaves the path at edges lo to hi."""
+            share = 1 - self.p[edges[lo:hi]]  # what the other edges of the node weigh
+            if lo == t and out is not None:  # at this edge more than one piece is taken
+                node = int(self.owner[edges[t]])
+                left = [x for x in range(int(self.edge[node]), int(self.edge[node + 1])) if x not in out]
+                share[0] = self.p[left].sum()
+            some = np.flatnonzero(share > 0)
+            noise, at = np.full(hi - lo, math.inf), some + lo
+            before = np.where(at > 0, lp[at - 1], 0.0)
+            noise[some] = _log_noise(int(self.seed[d]), path, at - t) - np.log(share[some]) - before
+            return noise
+
+        # An exit's value falls with its noise over its mass. Noise has a least value, and mass only falls along the path:
+        # from the place on where even the least noise is too much, none can be among the best.
+        ratio, n = exits(t, min(len(edges), t + BLOCK)), min(len(edges), t + BLOCK)
+        if n < len(edges):
+            bound = np.partition(ratio, need - 1)[need - 1]
+            end = 1 + int(np.searchsorted(-lp, bound - LEAST_LOG_NOISE, side="right")) if bound < math.inf else len(edges)
+            if min(end, len(edges)) > n:
+                ratio = np.concatenate([ratio, exits(n, min(end, len(edges)))])
+        best = np.argpartition(ratio, need - 1)[:need] if need < len(ratio) else np.arange(len(ratio))
+        for i in sorted(best.tolist()):
+            if ratio[i] < math.inf:
                 taken = out if (i == 0 and out is not None) else {int(edges[t + i])}
-                heapq.heappush(heap, (-float(values[i]), len(found) * 1_000_000 + i, source, t + i, frozenset(taken)))
+                heapq.heappush(heap, (float(np.logaddexp(-value, ratio[i])), len(found) * 1_000_000 + i, source, t + i, frozenset(taken)))
 
     def ids(self, edges: np.ndarray, byte0: int) -> np.ndarray:
         piece = self.piece[edges]
@@ -371,11 +453,14 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def _sample(pieces: Pieces, k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattices = Lattices(pieces)
         for batch in batches:
             texts = pc.fill_null(batch["text"], "").to_pylist()
             keys = np.array([xxhash.xxh64_intdigest(str(x), seed) for x in batch["doc_id"].to_pylist()], U)
             for lo, hi in _slices(texts):
-                part = Slice(texts[lo:hi], keys[lo:hi], pieces, seed)
+                if lattices.nodes > KEPT_NODES:
+                    lattices.clear()
+                part = Slice(texts[lo:hi], keys[lo:hi], lattices, seed)
                 row, number, ids, lp, value, score, same = [], [], [], [], [], [], []
                 for i, (*samples, kappa) in enumerate(part.search(k)):
                     for j, (edges, p, g) in enumerate(samples):

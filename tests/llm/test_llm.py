@@ -500,7 +500,7 @@ def test_sampling_matches_enumeration(pieces):
     every = [a + b for a in segmentations(pieces, "▁that") for b in segmentations(pieces, "▁on")]
     w = np.array([sum(pieces.weight[p] for p in s) for s in every])
     prob = dict(zip([tuple(pieces.ids[p] for p in s) for s in every], np.exp(w - w.max()) / np.exp(w - w.max()).sum()))
-    part = sp.Slice([text] * n, np.arange(n).astype(np.uint64) * np.uint64(7919), pieces, 5)
+    part = sp.Slice([text] * n, np.arange(n).astype(np.uint64) * np.uint64(7919), sp.Lattices(pieces), 5)
     first, both, total = Counter(), Counter(), 0.0
     for *samples, kappa in part.search(3):
         ids = [tuple(part.ids(e, pieces.byte0).tolist()) for e, _, _ in samples]
@@ -530,11 +530,41 @@ def test_sampling_round_trip(odd, pieces, spark):
 
 
 def test_long_words_do_not_underflow(pieces):
-    part = sp.Slice(["q" * 3000], np.array([1], np.uint64), pieces, 1)
+    part = sp.Slice(["q" * 3000], np.array([1], np.uint64), sp.Lattices(pieces), 1)
     (*samples, _), = part.search(2)
     assert all(pieces.decode(part.ids(e, pieces.byte0).tolist()) == "q" * 3000 and lp < 0 for e, lp, _ in samples)
 
 
+def test_samples_are_equal_bit_by_bit_whatever_stands_beside_them(pieces, monkeypatch):
+    import pyarrow as pa
+
+    rng, v = random.Random(6), vocabulary(400, 5)
+    texts = [" ".join(rng.choice(v) for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["q" * 400, "é☃ " * 30, "", "y" * 65]
+    odd = ["z" * 151, "ab " * 2000, "x" * 5000, "日本" * 300]
+
+    def sample(rows, size):
+        t = pa.table({"doc_id": [i for i, _ in rows], "text": [x for _, x in rows]})
+        out = pa.Table.from_batches(sp._sample(pieces, 3, 9)(t.to_batches(max_chunksize=size))).to_pylist()
+        return {(r["doc_id"], r["sample"]): (r["ids"], r["log_prob"], r["perturbed"], r["log_inclusion"]) for r in out if r["doc_id"] < 100}
+
+    rows = list(enumerate(texts))
+    alone = {k: x for r in rows for k, x in sample([r], 1).items()}
+    for k in range(4):
+        beside = rows + [(100 + i, odd[rng.randrange(len(odd))]) for i in range(k * 8)]
+        rng.shuffle(beside)
+        monkeypatch.setattr(sp, "SLICE_CHARS", rng.choice([300, 5000, 500_000]))
+        monkeypatch.setattr(sp, "KEPT_NODES", rng.choice([0, 700, 1_000_000]))
+        assert sample(beside, rng.randint(1, 80)) == alone  # equal floats, not close ones
+
+
+def test_exits_that_are_not_drawn_cannot_win(pieces, monkeypatch):
+    text = " ".join(vocabulary(3000, 9))
+    few = sp.Slice([text], np.array([5], np.uint64), sp.Lattices(pieces), 3).search(4)
+    monkeypatch.setattr(sp, "BLOCK", 10**9)  # all are drawn
+    every = sp.Slice([text], np.array([5], np.uint64), sp.Lattices(pieces), 3).search(4)
+    assert [(a.tolist(), b, c) for a, b, c in few[0][:-1]] == [(a.tolist(), b, c) for a, b, c in every[0][:-1]] and few[0][-1] == every[0][-1]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
