@@ -29,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def text_or_empty(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
 def partitions(spark: SparkSession) -> int:

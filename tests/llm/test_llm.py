@@ -344,32 +344,86 @@ def test_line_dedup_odd(odd):
     assert Counter(got) == Counter((i, t or "") for i, t in ODD) and lines.line_dedup(odd.limit(0)).count() == 0
 
 
+def linked(df):
+    return Counter((r.doc_id, r.class_id, r.n_links) for r in near.near_duplicates(df).collect())
+
+
 def test_near_duplicates_brute_force(spark):
     rows = list(enumerate(corpus(300, 9, words=2000))) + [(900, "a b"), (901, "a b"), (902, "a b c"), (903, ""), (904, None), (905, "\n")]
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, rep int")
-    got = {r.doc_id: (r.class_id, r.n_links) for r in near.near_duplicates(df).collect()}
-    assert got == near.brute_force(rows)
+    rows += [(3, rows[3][1])] * 3 + [(4, rows[7][1] + " z"), (4, "nothing like it " * 9), (5, rows[4][1]), (5, rows[4][1])]  # repeated rows and ids
+    assert linked(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, rep int")) == Counter(near.brute_force(rows))
 
 
-def test_near_duplicates_in_parts(spark, monkeypatch):
-    """A large group of near copies, cut into parts, and nodes that are joined whole."""
-    monkeypatch.setattr(near, "PART", 16)
-    monkeypatch.setattr(near, "NODE", 8)
-    rng, v = random.Random(1), vocabulary(3000, 4)
-    base = [rng.choice(v) for _ in range(200)]
+def test_near_duplicates_repeats(spark):
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    other = "quite another text that shares nothing with the ones before it at all"
+    df = spark.createDataFrame([(1, a), (1, a), (2, a + " more"), (2, other)], "doc_id long, text string")
+    assert linked(df) == Counter({(1, 1, 2): 2, (2, 1, 2): 1, (2, 2, 0): 1})
+    assert Counter((r.doc_id, r.text) for r in near.keep_one_per_class(df).collect()) == Counter({(1, a): 1, (2, other): 1})
+    named = df.select(F.col("doc_id").alias("an.id"), F.col("text").alias("a text"), F.lit(1).alias("h1"), F.lit(2).alias("row"), F.lit(3).alias("a.b"))
+    left = near.keep_one_per_class(named, "an.id", "a text")
+    assert left.columns == named.columns and left.count() == 2
+
+
+def dense(n, seed, size=200):
+    rng, v = random.Random(seed), vocabulary(3000, 4)
+    base = [rng.choice(v) for _ in range(size)]
     rows = []
-    for i in range(90):
+    for i in range(n):
         w = list(base)
-        for _ in range(i % 4):
-            w[rng.randrange(200)] = rng.choice(v)
+        for _ in range(i % 5):
+            w[rng.randrange(size)] = rng.choice(v)
+        if i % 3 == 0:  # half of it another text: shares prefixes, but isn't linked
+            w[size // 2 :] = [rng.choice(v) for _ in range(size // 2)]
         rows.append((i, " ".join(w)))
-    got = {r.doc_id: (r.class_id, r.n_links) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == near.brute_force(rows)
+    return rows
 
 
-def test_near_prefix_meets_recall():
-    d = near.prefix_length()
-    assert 1 - (1 - 0.8**d) ** near.TREES >= near.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near.TREES
+def test_near_duplicates_in_parts(spark, monkeypatch):
+    """A large group of near copies, cut into parts; nodes that are split by longer prefixes, in tasks and before the shuffle."""
+    rows = dense(90, 1)
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), Counter(near.brute_force(rows))
+    monkeypatch.setattr(near, "PART", 16)
+    assert linked(df) == want
+    monkeypatch.setattr(near, "NODE", 3)
+    monkeypatch.setattr(near, "SIDE_ROWS", 0)
+    assert linked(df) == want
+    monkeypatch.setattr(near, "HELD", 20)
+    assert linked(df) == want
+
+
+def test_forest_walk_splits_until_nodes_are_small(monkeypatch):
+    rng = np.random.default_rng(2)
+    sig = np.unique(rng.integers(0, 3, (400, near.TREES * near.DEPTH)).astype(np.uint8), axis=0)
+    order = near.label_order(5)
+    monkeypatch.setattr(near, "NODE", 7)
+    edges, at = near.walk(sig, order, 2, 50)
+    for i, d in enumerate(at.tolist()):  # each row's node at its depth is small, and the one above it is not
+        size = lambda d, i=i: (sig[:, order[:d]] == sig[i, order[:d]]).all(1).sum()
+        assert size(d) <= 7 and (d == 2 or (sig[:, order[2 : d - 1]] == sig[i, order[2 : d - 1]]).all(1).sum() > 7)
+    assert all((sig[a] == sig[b]).sum() >= 50 for a, b in edges)
+    near_pairs = lambda e, n: len({frozenset(x) for x in e}) <= n - 1
+    every = near.join_near(sig, 50)
+    assert near_pairs(every, len(sig))
+    root = list(range(len(sig)))
+    for a, b in every:
+        a, b = root[a], root[b]
+        root = [a if x == b else x for x in root]
+    same = (sig[:, None, :] == sig[None, :, :]).sum(2) >= 50
+    assert all(root[i] == root[j] for i, j in zip(*np.nonzero(same)))
+
+
+def test_near_recall_over_similarities(spark):
+    """Pairs around the threshold, each alone: all linked ones are found."""
+    rng, v, rows = random.Random(3), vocabulary(6000, 7), []
+    for k in range(150):
+        w = [rng.choice(v) for _ in range(rng.randint(30, 150))]
+        x = list(w)
+        for _ in range(max(1, len(w) * (k % 5) // 200)):
+            x[rng.randrange(len(x))] = "zzz"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(x))]
+    want = Counter(near.brute_force(rows))
+    assert linked(spark.createDataFrame(rows, "doc_id long, text string")) == want and sum(n for (_, _, k), n in want.items() if k) > 100
 
 
 def test_near_duplicates_odd(odd):
