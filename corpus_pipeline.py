@@ -2,17 +2,21 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; between
 stages the documents are written as Parquet and read again. Part of the subpackage llm.
+
+Edge cases: a null or empty text is a document like others (all empty ones are equal, one stays);
+rows that repeat an id are told apart by their texts; columns besides id and text are carried
+along, whatever their names; without labels nothing is toxic, without a benchmark nothing leaks;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import decontaminate, exact_dedup, ngram_join, piece_sampling, toxicity
-from corpusmill.llm.common import table
+from corpusmill.llm.common import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; intermediate tables go to the shared checkpoint folder (a temporary one where none is set)."""
+    """All stages over ``documents``; intermediate tables go to the shared checkpoint folder.
+
+    They stay there, as the result is read from the last of them; the folder is the caller's to clear.
+    """
     docs = table(spark, sf_dir, "documents")
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    top = f"{top.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -11,11 +11,11 @@
 
 Words are compared in lower case without punctuation at their ends. Items are taken in
 blocks of ``BLOCK_WORDS`` words, which bounds what is sent to the workers whatever the
-size of the benchmark; each block is one more pass over the documents. Documents are read
-where they are; nothing is shuffled.
+size of the benchmark; each block is one more pass over the documents, and its index is gone
+before the next one is made. Documents are read where they are; nothing is shuffled.
 
 Edge cases: null texts and texts without words match nothing; items with fewer than ``SEED``
-words have no seed and match nothing; repeated items and rows give repeated results; an empty
+words have no seed and match nothing; item ids are of any type; repeated items and rows give repeated results; an empty
 benchmark or table gives an empty result; columns other than ids and texts are not read.
 """
 
@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table, text_or_empty
+from .common import cut, quoted, table, text_or_empty
 from .words import split, utf8
 
 SEED, MIN_SEEDS, THRESHOLD, PASSAGE = 3, 2, 0.5, 13
@@ -164,7 +165,7 @@ def _hits(index: Index, cache: WordIds, texts: list[bytes]) -> Iterator[tuple[np
         yield ids, *_lookup(index, _grams(ids, size))
 
 
-def _find(index: Index):
+def _find(index: Index, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordIds(index.vocabulary)
         for batch in batches:
@@ -175,10 +176,9 @@ def _find(index: Index):
                         rows.append(k)
                         out.append((index.ids[m[0]], *m[1:]))
             cols = list(zip(*out)) or [[]] * 5
-            kinds = [None, pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-            item = pa.array(cols[0]) if out else pa.array([], pa.int64())
+            kinds = [kind, pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(pa.array(rows, pa.int64())), item, *(pa.array(c, t) for c, t in zip(cols[1:], kinds[1:]))],
+                [batch["doc_id"].take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))],
                 ["doc_id", "item_id", "score", "start", "end", "seeds"],
             )
 
@@ -209,22 +209,36 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and item it contains: doc_id, item_id, score, start, end (words), seeds."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    kind, item = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    ddl = f"doc_id {kind}, item_id {item}, score double, start long, end long, seeds long"
-    out = None
+    """One row per document and item it contains: doc_id, item_id, score, start, end (words), seeds.
+
+    With several blocks of items, each block's matches are written before the next one's index is built.
+    """
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    item = benchmark.schema["item_id"]
+    ddl = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {item.dataType.simpleString()}, score double, start long, end long, seeds long"
+    kind, out, last = to_arrow_type(item.dataType), None, None
     for index in indexes(benchmark):
-        part = rows.mapInArrow(_find(index), ddl)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], ddl) if out is None else out
+        if last is not None:
+            part = cut(rows.mapInArrow(_find(last, kind), ddl))
+            out = part if out is None else out.unionByName(part)
+        last = index
+    if last is None:
+        return docs.sparkSession.createDataFrame([], ddl)
+    part = rows.mapInArrow(_find(last, kind), ddl)
+    return part if out is None else out.unionByName(part)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that contain a test item; rows are tested in place, all columns unchanged."""
+    """``docs`` without the rows that contain a test item; rows are tested in place, all columns unchanged.
+
+    With several blocks of items, what each block leaves is written before the next one's index is built.
+    """
+    last = None
     for index in indexes(benchmark):
-        docs = docs.mapInArrow(_clean(index, text_col), docs.schema)
-    return docs
+        if last is not None:
+            docs = cut(docs.mapInArrow(_clean(last, text_col), docs.schema))
+        last = index
+    return docs if last is None else docs.mapInArrow(_clean(last, text_col), docs.schema)
 
 
 def _clean(index: Index, text_col: str):

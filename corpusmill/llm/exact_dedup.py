@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, cut, table, text_or_empty
+from .common import ASCII_SPACE, cut, quoted, table, text_or_empty
 
 MIN_BITS, MAX_BITS = 1 << 10, 1 << 26
 #: A group is hot from this size, and from a thousandth of all rows: at most 1,000 such groups exist.
@@ -84,26 +84,26 @@ def _decide(rows: DataFrame, n: int) -> DataFrame:
 def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut(
         docs.select(
-            F.col(id_col).alias("_id"),
+            F.col(quoted(id_col)).alias("_id"),
             F.char_length(text_or_empty(text_col)).alias("_len"),
             normalised_sha256(text_col).alias("_sha"),
         ).withColumn("_row", F.monotonically_increasing_id())
     )
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+def _run(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int, int]:
     rows = _digests(docs, id_col, text_col)
     n = rows.count()
     bits = bits_for(n)
     words = cut(repeated_bits(rows, "_sha", bits))
     flagged = flag_possible_repeats(rows, "_sha", words, bits)
     exact = _decide(flagged.where("_maybe"), n).select(
-        "_id", F.col("_best.i").alias("_keep"), "_size", (F.col("_row") == F.col("_best.r")).alias("_kept"), "_sha"
+        "_id", "_len", F.col("_best.i").alias("_keep"), "_size", (F.col("_row") == F.col("_best.r")).alias("_kept"), "_sha"
     )
     alone = flagged.where(~F.col("_maybe")).select(
-        "_id", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_size"), F.lit(True).alias("_kept"), "_sha"
+        "_id", "_len", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_size"), F.lit(True).alias("_kept"), "_sha"
     )
-    return alone.unionByName(exact), words, bits
+    return alone.unionByName(exact), words, bits, n
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,7 +111,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of equal texts the one with the most code points stays, then the smallest id.
     """
-    rows, _, _ = _run(docs, id_col, text_col)
+    rows, *_ = _run(docs, id_col, text_col)
     return rows.select(
         F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
         F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"),
@@ -119,20 +119,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns unchanged.
+    """``docs`` with one row of each group of equal texts, all columns unchanged: the one that :func:`exact_dedup` keeps.
 
-    Rows that can't repeat are read, tested and written without a shuffle.
+    Rows that can't repeat are read, tested and written without a shuffle. The row that stays is told
+    by id, hash and length; of rows equal in all three (repeated rows, say) one stays.
     """
-    decisions, words, bits = _run(docs, id_col, text_col)
-    decisions = cut(decisions.where("_size > 1"))
-    gone = decisions.groupBy("_id", "_sha").agg(F.expr("bool_or(_kept)").alias("_stays"), F.count(F.lit(1)).alias("_n"))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), normalised_sha256(text_col).alias("_sha"))
+    decisions, words, bits, n = _run(docs, id_col, text_col)
+    best = cut(decisions.where("_kept and _size > 1").select(F.col("_sha").alias("_best_sha"), F.col("_id").alias("_best_id"), F.col("_len").alias("_best_len"), "_size"))
+    length = F.char_length(text_or_empty(text_col))
+    packed = docs.select(F.struct(F.col("*")).alias("row"), F.col(quoted(id_col)).alias("id"), length.alias("len"), normalised_sha256(text_col).alias("_sha"))
     seen = flag_possible_repeats(packed, "_sha", words, bits)
-    at = gone.select(F.col("_id").alias("_gone_id"), F.col("_sha").alias("_gone_sha"), "_stays", "_n")
-    met = seen.where("_maybe").join(at, F.col("id").eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha")), "left")
-    once = met.where("_n is null or (_stays and _n = 1)")
-    again = met.where("_stays and _n > 1").dropDuplicates(["_gone_id", "_sha"])
-    return seen.where(~F.col("_maybe")).select("row.*").unionByName(once.select("row.*")).unionByName(again.select("row.*"))
+    same, one = F.col("_sha") == F.col("_best_sha"), F.col("id").eqNullSafe(F.col("_best_id")) & (F.col("len") == F.col("_best_len"))
+    hot = F.col("_size") >= max(HOT_ROWS, n // HOT_SHARE)
+    first = seen.where("_maybe").join(F.broadcast(best.where(hot)), same, "left")
+    rest = first.where("_size is null").select("row", "id", "len", "_sha").join(best.where(~hot), same, "left")
+    alone = rest.where("_size is null")  # unique hashes that the filter let through
+    several = first.where("_size is not null").select(*rest.columns).unionByName(rest.where("_size is not null")).where(one)
+    stays = several.groupBy("_sha").agg(F.first("row").alias("row"))
+    return seen.where(~F.col("_maybe")).select("row.*").unionByName(alone.select("row.*")).unionByName(stays.select("row.*"))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, cut, table, text_or_empty
+from .common import BitFilter, cut, quoted, table, text_or_empty
 from .words import BASE, U, WordHashes, mix, split, utf8
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -359,7 +359,7 @@ def _verify(ngram: int, threshold: float):
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, h1, h2): two 64-bit hashes of the text, which tell rows that repeat an id apart."""
-    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    base = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_or_empty(text_col).alias("text"))
     return base.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
 
 
@@ -434,7 +434,7 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stays = F.struct("doc_id", "h1", "h2").eqNullSafe(F.col("first"))
     gone = cut(out.groupBy(F.col("doc_id").alias("id"), "h1", "h2").agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n")))
     may = BitFilter.build(gone.select("h1"), "h1", gone.count())
-    packed = docs.select(F.struct(F.col("*")).alias("row"), F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("t"))
+    packed = docs.select(F.struct(F.col("*")).alias("row"), F.col(quoted(id_col)).alias("id"), text_or_empty(text_col).alias("t"))
     packed = packed.select("row", "id", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), F.lit(False).alias("maybe"))
     flagged = packed.mapInArrow(_mark(may), packed.schema)
     known = gone.select(F.col("id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "stays", "n")

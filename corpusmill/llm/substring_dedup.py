@@ -3,21 +3,24 @@
 A window is ``WINDOW`` consecutive words of one document. It is repeated if the same
 word sequence also starts anywhere else; every word under a repeated window goes.
 
-Each window of a document belongs to its anchor: the run of ``ANCHOR`` words in it with
-the least hash (the first one on a tie). Equal windows have equal anchors, so a window
-whose anchor occurs once in the corpus is unique, and needs no counting. Consecutive
-windows with the same anchor occurrence form a segment, which is hashed as a whole:
+Every window is hashed. Its anchor is the run of ``ANCHOR`` words in it with the least hash (the
+first one on a tie): equal windows have equal anchors. Consecutive windows with the same anchor
+occurrence, ``WINDOW - ANCHOR + 1`` at most, form a segment, whose hash is made of its windows'
+hashes; a segment that is counted k times counts each of its windows k times. So:
 
-1. segments are counted by (anchor, segment): windows of a segment that occurs twice
+1. anchors are counted. Windows of an anchor that occurs once are unique, and go no further.
+2. segments of the others are counted by (anchor, segment): windows of a segment that occurs twice
    are repeated. Within a segment no two windows are equal.
-2. of anchors with several different segments, one of each is expanded to its windows,
-   whose hashes are counted by (anchor, window); these are few, around the edits of
-   near copies and the ends of shared passages.
-3. repeated windows of each document are merged into maximal intervals and cut out.
+3. of anchors with several different segments one occurrence of each is written out window by
+   window, and windows are counted by (anchor, hash); around the edits of near copies and the ends
+   of shared passages this finds what segments as a whole don't tell.
+4. repeated windows of each document are merged into maximal intervals and cut out.
 
-So a passage that a third of all documents share is counted after map-side aggregation
-as one segment hash, and no window of it is shuffled once per occurrence. Hashes are 128
-bits together (anchor and segment, or anchor and window), independent of the position.
+Hashes are 128 bits together (anchor and segment, or anchor and window), independent of the
+position. All counts are combined on the map side, and groups are counts and bit masks, so neither
+a passage that a third of all documents share nor an anchor with as many different surroundings
+is one task's. Texts are read three times, the second time only those with segments to write out;
+the segments are written once, to the shared folder.
 
 Edge cases: a null text has no words; documents shorter than a window lose nothing;
 repeated rows repeat each other's windows and lose them all, also if they have the same
@@ -33,55 +36,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, cut, table, text_or_empty
-from .words import Powers, Rolling, U, WordHashes, split, utf8, window_min
+from .common import BitFilter, cut, quoted, stored, table, text_or_empty
+from .words import BASE, Powers, Rolling, U, WordHashes, mix, split, utf8, window_min
 
 WINDOW, ANCHOR, BLOCK = 35, 20, 1 << 18
-#: Documents whose segments are added up before they are shuffled.
-CHUNK = 2000
-#: A segment is hot from this many occurrences, and from a thousandth of all segments: at most 1,000 such segments exist.
+#: Documents whose segments are held at once.
+CHUNK = 1000
+#: A segment is hot from this many occurrences, and from a thousandth of all; an anchor, by its different segments: at most 1,000 of each exist.
 HOT_ROWS, HOT_SHARE = 1000, 1000
 _LOW = U((1 << 20) - 1)
 
 
 def segments_of(hashes: np.ndarray, powers: Powers, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Anchor hash, segment hash, first window and number of windows of each segment of a document."""
+    """Anchor hash, segment hash, first window and number of windows of each segment of a document, and the hashes of all its windows."""
     parts = []
     for at in range(0, max(1, len(hashes) - window + 1), BLOCK):
         block = hashes[at : at + BLOCK + window - 1]
         if len(block) < window:
             break
         rolling = Rolling(block, powers)
-        h = rolling.every(anchor)
+        h, every = rolling.every(anchor), rolling.every(window)
         rank = (h & ~_LOW) | np.arange(len(h), dtype=U)  # by hash, then by position
         where = (window_min(rank, window - anchor + 1) & _LOW).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         n = np.diff(np.append(first, len(where)))
-        parts.append((h[where[first]], rolling.runs(first, first + n + window - 1), first + at, n))
+        place = (np.arange(len(every)) - np.repeat(first, n)).astype(U)
+        parts.append((h[where[first]], mix(np.add.reduceat(mix(every + place * U(BASE)), first) + n.astype(U)), first + at, n, every))
     if not parts:
-        return (np.empty(0, U), np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64))
+        return (np.empty(0, U), np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _segments(window: int, anchor: int):
-    """Counted segments (anchor, segment, times, row): added up over some documents, with the least row that has one."""
+    """Every segment (doc_id, row, anchor, segment, first, n) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, powers = WordHashes(), Powers()
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(lo, CHUNK)
-                found = [segments_of(cache.of(split(text)), powers, window, anchor) for text in utf8(part["text"])]
-                a, s = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                row = np.repeat(part["row"].to_numpy(), [len(f[0]) for f in found])
-                order = np.lexsort((row, s, a))
-                a, s, row = a[order], s[order], row[order]
-                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])])) if len(a) else np.empty(0, np.int64)
-                times = np.diff(np.append(first, len(a)))
-                yield pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(s[first].view(np.int64)), pa.array(times), pa.array(row[first])], ["anchor", "segment", "times", "row"])
+                found = [segments_of(cache.of(split(text)), powers, window, anchor)[:4] for text in utf8(part["text"])]
+                at = pa.array(np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found]))
+                a, s, first, n = (np.concatenate([f[k] for f in found]) for k in range(4))
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"].take(at), part["row"].take(at), pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    ["doc_id", "row", "anchor", "segment", "first", "n"],
+                )
 
     return run
 
@@ -100,59 +103,49 @@ def _pair(anchor: np.ndarray, segment: np.ndarray) -> np.ndarray:
     return anchor * U(3) ^ segment
 
 
-def _windows(window: int, anchor: int):
-    """From texts with the segments to expand: their windows' hashes."""
+def _windows(window: int, anchor: int, may: BitFilter, rows: BitFilter):
+    """Windows (anchor, segment, offset, hash) of the segments to write out, from the texts that have some.
+
+    What a filter lets through besides is another occurrence of a segment, or one whose anchor is
+    unique: it changes no window from once to several times that isn't there several times.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, powers = WordHashes(), Powers()
-        names = ["anchor", "segment", "offset", "hash"]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 100):
-                part = batch.slice(lo, 100)
-                out = [[], [], [], []]
-                for text, todo in zip(utf8(part["text"]), part["todo"].to_pylist()):
-                    hashes = cache.of(split(text))
-                    rolling = Rolling(hashes, powers)
-                    wanted = {(t["anchor"], t["segment"]) for t in todo}
-                    a, s, first, n = segments_of(hashes, powers, window, anchor)
-                    for x in zip(a.view(np.int64).tolist(), s.view(np.int64).tolist(), first.tolist(), n.tolist()):
-                        if x[:2] in wanted:
-                            wanted.discard(x[:2])
-                            at = x[2] + np.arange(x[3])
-                            out[0].append(np.full(x[3], x[0], np.int64))
-                            out[1].append(np.full(x[3], x[1], np.int64))
-                            out[2].append(np.arange(x[3], dtype=np.int32))
-                            out[3].append(rolling.runs(at, at + window).view(np.int64))
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+            batch = batch.filter(pa.array(rows(batch["row"].to_numpy())))
+            for lo in range(0, batch.num_rows, CHUNK):
+                part, out = batch.slice(lo, CHUNK), []
+                for text, row in zip(utf8(part["text"]), part["row"].to_numpy().view(U)):
+                    a, s, first, n, every = segments_of(cache.of(split(text)), powers, window, anchor)
+                    some = np.flatnonzero(may((_pair(a, s) ^ row).view(np.int64)))
+                    if len(some):
+                        a, s, first, n = a[some], s[some], first[some], n[some]
+                        offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                        out.append((np.repeat(a, n).view(np.int64), np.repeat(s, n).view(np.int64), offset.astype(np.int32), every[np.repeat(first, n) + offset].view(np.int64)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["anchor", "segment", "offset", "hash"])
 
     return run
 
 
-def _occurrences(window: int, anchor: int, may: BitFilter):
-    """Every occurrence of a segment that may be marked: (row, anchor, segment, first, n)."""
-
+def _may_be_marked(may: BitFilter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers = WordHashes(), Powers()
         for batch in batches:
-            for lo in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(lo, CHUNK)
-                found = [segments_of(cache.of(split(text)), powers, window, anchor) for text in utf8(part["text"])]
-                row = np.repeat(part["row"].to_numpy(), [len(f[0]) for f in found])
-                a, s, first, n = (np.concatenate([f[k] for f in found]) for k in range(4))
-                ok = may(_pair(a, s))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row[ok]), pa.array(a[ok].view(np.int64)), pa.array(s[ok].view(np.int64)), pa.array(first[ok].astype(np.int32)), pa.array(n[ok].astype(np.int32))],
-                    ["row", "anchor", "segment", "first", "n"],
-                )
+            a, s = (batch[c].to_numpy().view(U) for c in ("anchor", "segment"))
+            yield batch.filter(pa.array(may(_pair(a, s).view(np.int64))))
 
     return run
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of segments, with the row where there is one."""
     for batch in batches:
         a, s = (batch[c].to_numpy().view(U) for c in ("anchor", "segment"))
-        yield pa.RecordBatch.from_arrays([pa.array(_pair(a, s).view(np.int64))], ["pair"])
+        key = _pair(a, s)
+        if "row" in batch.schema.names:
+            key = key ^ batch["row"].to_numpy().view(U)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["pair"])
 
 
 def _flagged(may: BitFilter):
@@ -174,9 +167,14 @@ def kept_mask(n_words: int, starts: np.ndarray, window: int = WINDOW) -> np.ndar
 
 
 def _starts(marks) -> np.ndarray:
-    """First words of the repeated windows: of all of a segment's, or of those at its offsets."""
-    parts = [m["first"] + (np.arange(m["n"]) if m["offsets"] is None else np.array(m["offsets"], np.int64)) for m in marks or ()]
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+    """First words of the repeated windows: of each segment those whose bits are set."""
+    if not marks:
+        return np.empty(0, np.int64)
+    first = np.array([m["first"] for m in marks], np.int64)
+    mask = np.array([m["mask"] for m in marks], np.int64).view(U)
+    bit = np.arange(64, dtype=U)
+    at, offset = np.nonzero((mask[:, None] >> bit) & U(1))
+    return np.unique(first[at] + offset)
 
 
 def _cut_out(window: int):
@@ -201,37 +199,43 @@ def _cut_out(window: int):
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (text) and removed (word intervals)."""
-    source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    if not 0 <= window - anchor < 63:
+        raise ValueError("a segment has at most 63 windows")
+    source = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    texts = source.withColumn("row", F.xxhash64("doc_id", "text"))  # equal rows share a key, and a result
-    bare = texts.select("row", "text")
-    seg = bare.mapInArrow(_segments(window, anchor), "anchor long, segment long, times long, row long").repartition(F.col("anchor"))
-    groups = seg.groupBy("anchor", "segment").agg(F.sum("times").alias("times"), F.min("row").alias("row"))
-    groups = groups.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("times > 1 or kinds > 1")
-    groups = cut(groups.withColumn("several", F.col("kinds") > 1).drop("kinds"))
-
-    todo = groups.where("several").select("row", F.struct("anchor", "segment").alias("todo")).groupBy("row").agg(F.collect_list("todo").alias("todo"))
-    todo = cut(todo)  # a row holds at most one document's segments
-    may = BitFilter.build(todo, "row", todo.count())
-    some = bare.mapInArrow(_chosen(may, "row"), "row long, text string")
-    expanded = cut(some.join(todo, "row").dropDuplicates(["row"]).select("text", "todo").mapInArrow(_windows(window, anchor), "anchor long, segment long, offset int, hash long"))
+    texts = source.withColumn("row", F.xxhash64("text"))  # equal rows share id and hash, and a result
+    every = f"doc_id {kind}, row long, anchor long, segment long, first int, n int"
+    segments = stored(texts.mapInArrow(_segments(window, anchor), every))
+
+    again = cut(segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"))
+    known = segments.mapInArrow(_chosen(BitFilter.build(again, "anchor", again.count()), "anchor"), every)
+    groups = cut(known.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("times"), F.min("row").alias("row"), F.max("n").alias("n")))
+    several = cut(groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    total, count, kinds = (groups.agg(F.sum("times")).first()[0] or 0), several.count(), groups.count()
+    some = groups.select("anchor", "segment", "row").mapInArrow(_chosen(BitFilter.build(several, "anchor", count), "anchor"), "anchor long, segment long, row long")
+    hot = F.col("kinds") >= max(HOT_ROWS, kinds // HOT_SHARE)
+    first = some.join(F.broadcast(several.where(hot)), "anchor", "left")
+    several = cut(first.where("kinds is not null").drop("kinds").unionByName(first.where("kinds is null").drop("kinds").join(several.where(~hot), "anchor", "left_semi")))
+    n = several.count()
+    expand = _windows(window, anchor, BitFilter.build(several.mapInArrow(_pairs, "pair long"), "pair", n), BitFilter.build(several.select("row"), "row", n))
+    expanded = cut(texts.select("row", "text").mapInArrow(expand, "anchor long, segment long, offset int, hash long").distinct())
     twice = expanded.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    partly = expanded.join(twice, ["anchor", "hash"], "left_semi").groupBy("anchor", "segment").agg(F.collect_set("offset").alias("offsets"))
-
-    full = F.col("times") > 1
-    marked = groups.where(full | F.col("several")).join(partly, ["anchor", "segment"], "left").where(full | F.col("offsets").isNotNull())
-    marked = cut(marked.select("anchor", "segment", "times", F.when(~full, F.col("offsets")).alias("offsets")))
-    total, count = marked.agg(F.sum("times"), F.count(F.lit(1))).first()
-    may = BitFilter.build(marked.mapInArrow(_pairs, "pair long"), "pair", count)
-    found = bare.mapInArrow(_occurrences(window, anchor, may), "row long, anchor long, segment long, first int, n int")
-    hot = F.col("times") >= max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    partly = expanded.join(twice, ["anchor", "hash"], "left_semi").groupBy("anchor", "segment").agg(F.expr("bit_or(shiftleft(1L, offset))").alias("some"))
+
+    whole = F.when(F.col("times") > 1, F.expr("shiftleft(1L, n) - 1"))
+    marked = groups.join(partly, ["anchor", "segment"], "left").select("anchor", "segment", "times", F.coalesce(whole, "some").alias("mask")).where("mask is not null")
+    marked = cut(marked)
+    may = BitFilter.build(marked.select("anchor", "segment").mapInArrow(_pairs, "pair long"), "pair", marked.count())
+    found = segments.mapInArrow(_may_be_marked(may), every).drop("n")
+    hot = F.col("times") >= max(HOT_ROWS, total // HOT_SHARE)
     first = found.join(F.broadcast(marked.where(hot)), ["anchor", "segment"], "left")
-    rest = first.where("times is null").drop("times", "offsets").join(marked.where(~hot), ["anchor", "segment"])
-    hits = first.where("times is not null").unionByName(rest)
-    marks = cut(hits.groupBy("row").agg(F.collect_set(F.struct("first", "n", "offsets")).alias("marks")))
+    rest = first.where("times is null").drop("times", "mask").join(marked.where(~hot), ["anchor", "segment"])
+    hits = first.where("times is not null").unionByName(rest.select(*first.columns))
+    marks = cut(hits.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "mask")).alias("marks")))
     may = BitFilter.build(marks, "row", marks.count())
     hit = texts.mapInArrow(_flagged(may), f"doc_id {kind}, text string, row long, maybe boolean")
-    cut_docs = hit.where("maybe").join(marks, "row", "left").select("doc_id", "text", "marks")
+    known = marks.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "marks")
+    cut_docs = hit.where("maybe").join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("doc_id", "text", "marks")
     clear = hit.where("not maybe").select("doc_id", "text", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
     return clear.unionByName(cut_docs).mapInArrow(
         _cut_out(window), f"doc_id {kind}, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>"

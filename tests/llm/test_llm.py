@@ -283,6 +283,25 @@ def test_substring_dedup_brute_force(spark):
         assert sum(s.end - s.start for s in r.removed) == r.n_removed
 
 
+def test_substring_dedup_hot_anchor(spark, monkeypatch):
+    """A passage of 30 words with other surroundings in each document: no window repeats; with 5 words more one does."""
+    monkeypatch.setattr(sub, "HOT_ROWS", 20)
+    rng, v = random.Random(3), vocabulary(900, 4)
+    passage = [rng.choice(v) for _ in range(40)]
+    texts = [" ".join([*(rng.choice(v) for _ in range(20)), *passage[: 30 + (i % 7 == 0) * 6], *(rng.choice(v) for _ in range(20))]) for i in range(140)]
+    got = {r.doc_id: r for r in sub.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, w in enumerate(sub.brute_force(texts)):
+        assert (got[i].n_words, got[i].n_removed, hashlib.sha256(got[i].kept.encode()).hexdigest()) == w
+        assert (w[1] > 0) == (i % 7 == 0)
+
+
+def test_substring_dedup_repeated_ids(spark):
+    texts = corpus(40, 6)
+    rows = [(i // 3, t) for i, t in enumerate(texts)] + [(None, texts[3]), (None, texts[8]), (2, texts[6]), (2, texts[6])]
+    got = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in sub.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((i, *w) for (i, _), w in zip(rows, sub.brute_force([t for _, t in rows])))
+
+
 def test_substring_dedup_blocks(spark, monkeypatch):
     a = " ".join(vocabulary(3000, 1))
     hashes = sub.WordHashes().of(sub.split(a.encode()))
