@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rows_where(docs: DataFrame, text_col: str, keep: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
+    """The rows of ``docs`` for whose texts a function, made once per task, says true; all columns unchanged, whatever their names."""
+    names, at = docs.columns, docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = keep()
+        for batch in batches:
+            yield batch.filter(test(batch.column(at)))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it from there: for many narrow rows, which columns pack better."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, quoted, table, text_or_empty
+from .common import cut, quoted, rows_where, table, text_or_empty
 from .words import split, utf8
 
 SEED, MIN_SEEDS, THRESHOLD, PASSAGE = 3, 2, 0.5, 13
@@ -236,19 +236,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     last = None
     for index in indexes(benchmark):
         if last is not None:
-            docs = cut(docs.mapInArrow(_clean(last, text_col), docs.schema))
+            docs = cut(rows_where(docs, text_col, _clean(last)))
         last = index
-    return docs if last is None else docs.mapInArrow(_clean(last, text_col), docs.schema)
+    return docs if last is None else rows_where(docs, text_col, _clean(last))
 
 
-def _clean(index: Index, text_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _clean(index: Index):
+    def made():
         cache = WordIds(index.vocabulary)
-        for batch in batches:
-            keep = [not (len(found) and matches(index, ids, found, seed)) for ids, found, seed in _hits(index, cache, utf8(batch[text_col]))]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        return lambda texts: pa.array([not (len(found) and matches(index, ids, found, seed)) for ids, found, seed in _hits(index, cache, utf8(texts))], pa.bool_())
 
-    return run
+    return made
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, cut, table, text_or_empty
+from .common import BitFilter, cut, quoted, table, text_or_empty
 from .words import BASE, U, mix, utf8
 
 SPAN, EVERY, MIN_LINES, SLICE = 2, 3, 2, 500
@@ -127,7 +127,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_lines, n_removed (lines), n_chunks_removed, text (what is left)."""
-    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    base = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, row long, at int, key long"
 
@@ -139,19 +139,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # byte comparison: one group per hash and bytes
     place = F.struct("doc_id", "row", "at")
     bodies = base.mapInArrow(_keys(True, may), schema + ", body binary").groupBy("key", "body").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    bodies = cut(bodies.where("n > 1").select("key", "n", "first", F.xxhash64("body", F.lit(1)).alias("body_key")))
+    bodies = cut(bodies.where("n > 1").select("key", "n", "first", F.xxhash64(F.lit(1), "body").alias("body_key")))
 
-    occurrences = base.mapInArrow(_keys(True, may), schema + ", body binary").select("row", "doc_id", "at", "key", F.xxhash64("body", F.lit(1)).alias("body_key"))
+    occurrences = base.mapInArrow(_keys(True, may), schema + ", body binary").select("row", "doc_id", "at", "key", F.xxhash64(F.lit(1), "body").alias("body_key"))
     hot = F.col("n") >= max(HOT_ROWS, total // HOT_SHARE)
     on = ["key", "body_key"]
     first = occurrences.join(F.broadcast(bodies.where(hot)), on, "left")
     rest = first.where("n is null").drop("n", "first").join(bodies.where(~hot), on)
-    stays = (F.col("row") == F.col("first.row")) & (F.col("at") == F.col("first.at"))
-    gone = first.where("n is not null").unionByName(rest).where(~stays).groupBy("row").agg(F.collect_set("at").alias("gone"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")) & (F.col("at") == F.col("first.at"))
+    gone = first.where("n is not null").unionByName(rest).where(~stays).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("at").alias("gone"))
     gone = cut(gone)
-    some = BitFilter.build(gone, "row", gone.count())
+    some = BitFilter.build(gone, "_row", gone.count())
     marked = base.mapInArrow(_flagged(some), f"doc_id {kind}, text string, row long, maybe boolean")
-    hit = marked.where("maybe").join(gone, "row", "left").select("doc_id", "text", "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))  # a row is told by its id and a hash of its text
+    hit = marked.where("maybe").join(gone, same, "left").select("doc_id", "text", "gone")
     clear = marked.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<int>").alias("gone"))
     return clear.unionByName(hit).mapInArrow(_remove, f"doc_id {kind}, n_lines long, n_removed long, n_chunks_removed long, text string")
 

@@ -3,8 +3,9 @@
 A word is the mean of the embeddings of its subwords: itself and the character n-grams of
 ``<word>``, hashed into ``BUCKETS`` rows. A document is the mean of its words, times
 ``SCALE``; a linear softmax over it gives the score. Embeddings and softmax are trained
-together by Adam on the driver, on at most ``ROWS_PER_LABEL`` labelled rows of each label,
-chosen by a hash of their ids: this bound is the only sampling there is. Subwords whose
+together by Adam on the driver, on at most ``ROWS_PER_LABEL`` labelled rows of each label, in
+the order of a hash of their ids, and of at most ``CHARS_PER_LABEL`` characters together (whole
+texts; one that doesn't fit is passed over): these bounds are the only sampling there is. Subwords whose
 frequency doesn't differ between the labels beyond chance keep a zero vector. A misspelling that
 training never saw shares n-grams, and so vectors, with the word it comes from.
 
@@ -13,7 +14,8 @@ are scored whole, where they are, with no shuffle. What is sent to workers is 4
 bucket.
 
 Edge cases: a null or empty text scores as the softmax of a zero vector; repeated rows get
-equal results; labels other than 0 and 1, or for ids without a document, are not used;
+equal results; labels other than 0 and 1, for ids without a document, or that contradict each
+other are not used; of rows with the same id the text with the least hash is learnt from;
 without rows of both labels every score is 0; other columns are not read; an empty table
 gives an empty result.
 """
@@ -30,10 +32,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import cut, quoted, rows_where, table, text_or_empty
 from .words import U, mix
 
-ROWS_PER_LABEL = 2000
+ROWS_PER_LABEL, CHARS_PER_LABEL = 2000, 50_000_000
 BUCKETS, DIM, NGRAMS, SCALE = 1 << 17, 8, (3, 5), 30.0
 EPOCHS, BATCH, RATE, DECAY = 16, 32, 0.02, 0.05
 MIN_DOCS, MIN_Z = 3, 5.0
@@ -167,17 +169,34 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     return Model(embeddings, params[1], params[2])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = ROWS_PER_LABEL):
-    """At most ``per_label`` texts of each label, without held-out ids; the ids are broadcast, the texts don't shuffle."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(~held_out(F.col("_id")) & F.col("_id").isNotNull())
+def training_rows(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = ROWS_PER_LABEL, chars: int = CHARS_PER_LABEL
+) -> tuple[list[str], np.ndarray]:
+    """At most ``per_label`` texts of each label, without held-out ids; the same ones on every run.
+
+    The ids are broadcast, and only their texts shuffle, one of each id.
+    """
+    known = labels.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(label_col)).cast("int").alias("_y"))
+    known = known.where(~held_out(F.col("_id")) & F.col("_id").isNotNull() & F.col("_y").isNotNull())
+    known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").drop("_z")
     pick = None
     for y in (0, 1):
-        one = known.where(F.col("_y") == y).distinct().orderBy(F.xxhash64("_id"), "_id").limit(per_label)
+        one = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_label)
         pick = one if pick is None else pick.unionByName(one)
-    side = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text"))
-    rows = side.join(F.broadcast(pick), F.col("_doc") == F.col("_id")).select("_id", "_text", "_y").limit(2 * per_label).toArrow()
-    rows = rows.sort_by([("_id", "ascending"), ("_text", "ascending")])
-    return rows["_text"].to_pylist(), rows["_y"].to_numpy().astype(np.int64)
+    side = docs.select(F.col(quoted(id_col)).alias("_doc"), text_or_empty(text_col).alias("_text"))
+    met = side.join(F.broadcast(pick), F.col("_doc") == F.col("_id"))
+    texts = cut(met.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t"))).alias("_x")))
+    sizes = texts.select("_id", "_y", F.xxhash64("_id").alias("h"), F.char_length("_x.t").alias("n")).collect()  # 2 * per_label rows at most
+    used, left = [], {0: chars, 1: chars}
+    for r in sorted(sizes, key=lambda r: (r["h"], r["_id"])):
+        if r["n"] <= left[r["_y"]]:
+            left[r["_y"]] -= r["n"]
+            used.append(r["_id"])
+    if not used:
+        return [], np.empty(0, np.int64)
+    rows = texts.where(F.col("_id").isin(used)).select(F.xxhash64("_id").alias("h"), "_id", F.col("_x.t").alias("t"), "_y").toArrow()
+    rows = rows.sort_by([("h", "ascending"), ("_id", "ascending")])
+    return rows["t"].to_pylist(), rows["_y"].to_numpy().astype(np.int64)
 
 
 def scores_of(texts: list[str], folded: np.ndarray, bias: float) -> np.ndarray:
@@ -218,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     folded, bias = model.folded() if model else (None, 0.0)
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), held_out(F.col(quoted(id_col))).alias("held_out"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(_scorer(folded, bias), f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -231,14 +250,17 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         return docs
     folded, bias = model.folded()
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
-                texts = pc.fill_null(part[text_col].cast(pa.string()), "").to_pylist()
-                yield part.filter(pa.array(scores_of(texts, folded, bias) < threshold))
+    def made():
+        def keep(column: pa.Array) -> pa.Array:
+            out = [np.empty(0, bool)]
+            for lo in range(0, len(column), SLICE):
+                texts = pc.fill_null(column[lo : lo + SLICE].cast(pa.string()), "").to_pylist()
+                out.append(scores_of(texts, folded, bias) < threshold)
+            return pa.array(np.concatenate(out))
+
+        return keep
 
-    return docs.mapInArrow(keep, docs.schema)
+    return rows_where(docs, text_col, made)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

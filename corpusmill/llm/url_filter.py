@@ -1,11 +1,13 @@
 """URL filter: a blocked Bloom filter passes possible hits to an exact hash join.
 
-The list holds rules (with a verdict) and listed canonical URLs (which mean block).
-An entry is a host, optionally followed by a path that starts with ``/``. It fits
-its host and all subdomains, if the path of the URL starts with the entry's path.
+The list holds rules (with a verdict), listed sites and listed pages (which mean block).
+A rule or a site is a host, optionally followed by a path that starts with ``/``. It fits
+its host and all subdomains, if the path of the URL starts with the entry's path. A page is
+a URL, and fits the URLs that have the same canonical form (:func:`canonical`).
 
 1. Every entry sets eight bits, one per 64-bit lane, in one 512-bit block; hosts
-   are entered too, so that most URLs are done after a probe per host suffix.
+   are entered too, so that most URLs are done after a probe per host suffix (of at
+   most as many labels as the longest listed host has) and one of the canonical URL.
    Blocks are combined in Spark; there are at most ``MAX_BLOCKS`` of them (8 MB),
    so what is sent to the workers is bounded whatever the list's size.
 2. URLs without a possible hit go straight to the output.
@@ -16,6 +18,11 @@ its host and all subdomains, if the path of the URL starts with the entry's path
 The longest fitting rule wins; of equally long ones that with the longer host, then
 block. A URL without a rule is blocked if a listed URL fits, else allowed.
 
+Canonical form: no scheme, user or fragment; host in lower case without a dot at its end;
+no default port (80 of http, 443 of https); ``.`` and ``..`` segments resolved; ``/`` for an
+empty path; escapes of unreserved characters decoded, others in upper case; parameters as
+they are, an empty query dropped.
+
 Edge cases: a null URL or one without ``://`` has an empty host and path and is
 allowed; repeated rows give repeated results; empty entries are ignored; an empty
 list allows everything; columns other than the id and the URL are not read.
@@ -23,6 +30,7 @@ list allows everything; columns other than the id and the URL are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, quoted, table
 
 LANES, MAX_BLOCKS, KEYS_PER_BLOCK = 8, 1 << 17, 32
 BROADCAST_ENTRIES = 100_000
@@ -51,12 +59,16 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def entries_of(rules: DataFrame, listed: DataFrame | None = None) -> DataFrame:
-    """``rules`` (rule, verdict) and ``listed`` (url) as (e_host, e_path, rule, verdict); listed ones have no rule."""
+#: The host under which pages are entered; no URL has it, as it holds a slash.
+PAGE = "/page"
+
+
+def entries_of(rules: DataFrame, listed: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """``rules`` (rule, verdict), ``listed`` sites and ``pages`` (url) as (e_host, e_path, rule, verdict); listed ones have no verdict."""
     both = rules.select(F.col("rule").cast("string"), F.col("verdict").cast("string"))
     if listed is not None:
         both = both.unionByName(listed.select(F.col("url").cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")))
-    return (
+    entries = (
         both.where("coalesce(rule, '') != ''").distinct()
         .select(
             F.translate(F.substring_index("rule", "/", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("e_host"),
@@ -64,12 +76,53 @@ def entries_of(rules: DataFrame, listed: DataFrame | None = None) -> DataFrame:
             "rule", "verdict",
         )
     )
+    if pages is not None:
+        urls = pages.select(F.col("url").cast("string").alias("url")).mapInArrow(_canonical, "rule string").where("rule is not null").distinct()
+        entries = entries.unionByName(urls.select(F.lit(PAGE).alias("e_host"), F.col("rule").alias("e_path"), "rule", F.lit(None).cast("string").alias("verdict")))
+    return entries
 
 
 def _block_key(host: Column, path: Column) -> Column:
     return F.concat(host, F.lit("\n"), path)
 
 
+_UNRESERVED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
+_ESCAPE = re.compile("%([0-9a-fA-F]{2})")
+
+
+def _unescape(m: re.Match) -> str:
+    char = chr(int(m[1], 16))
+    return char if char in _UNRESERVED else m[0].upper()
+
+
+def canonical(url: str | None) -> str | None:
+    """The canonical form of a URL; null where it has no ``://``."""
+    scheme, found, rest = (url or "").partition("://")
+    if not found:
+        return None
+    rest = rest.partition("#")[0]
+    end = next((i for i, c in enumerate(rest) if c in "/?"), len(rest))
+    host, (path, _, query) = rest[:end].rpartition("@")[2].lower(), rest[end:].partition("?")
+    port = {"http": ":80", "https": ":443"}.get(scheme.strip().lower())
+    if port and host.endswith(port):
+        host = host[: -len(port)]
+    steps: list[str] = []
+    parts = _ESCAPE.sub(_unescape, path).split("/")[1:] or [""]
+    for i, part in enumerate(parts):
+        if part == "..":
+            del steps[-1:]
+        if part not in (".", ".."):
+            steps.append(part)
+        elif i == len(parts) - 1:
+            steps.append("")
+    return f"{host.rstrip('.')}/{'/'.join(steps)}" + (f"?{_ESCAPE.sub(_unescape, query)}" if query else "")
+
+
+def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([canonical(u) for u in batch["url"].to_pylist()], pa.string())], ["rule"])
+
+
 class BlockedBloom:
     """Eight lanes of 64 bits per block; a key sets and tests one bit of each lane."""
 
@@ -99,47 +152,52 @@ class BlockedBloom:
         return ((block >> bit) & np.uint64(1)).all(axis=1)
 
 
-def _suffixes(host: str) -> list[str]:
-    labels = host.split(".")
-    return [".".join(labels[i:]) for i in range(len(labels))]
+def _suffixes(host: str, labels: int) -> list[str]:
+    """A host's ends of at most so many labels."""
+    parts = host.rsplit(".", labels)[-labels:] if labels else []
+    return [".".join(parts[i:]) for i in range(len(parts))]
 
 
-def _probe(bloom: BlockedBloom, lengths: list[int]):
-    """Adds ``hits``: the entries' keys that the URL may fit."""
+def _probe(bloom: BlockedBloom, lengths: list[int], labels: int, with_pages: bool):
+    """Replaces ``url`` by ``hits``: the entries' keys that the URL may fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, paths = batch["host"].to_pylist(), batch["path"].to_pylist()
             at, keys = [], []
             for i, host in enumerate(hosts):
-                for suffix in _suffixes(host):
+                for suffix in _suffixes(host, labels):
                     at.append((i, suffix))
-                    keys.append(suffix.encode())
+                    keys.append(suffix.encode("utf-8", "surrogatepass"))
             found = bloom.may_contain(keys) if keys else []
             at = [x for x, ok in zip(at, found) if ok]
             tried = [(i, f"{s}\n{paths[i][:n]}") for i, s in at for n in lengths if n <= len(paths[i])]
-            found = bloom.may_contain([k.encode() for _, k in tried]) if tried else []
+            if with_pages:
+                tried += [(i, f"{PAGE}\n{c}") for i, u in enumerate(batch["url"].to_pylist()) if (c := canonical(u)) is not None]
+            found = bloom.may_contain([k.encode("utf-8", "surrogatepass") for _, k in tried]) if tried else []
             hits: list[list[str]] = [[] for _ in hosts]
             for (i, key), ok in zip(tried, found):
                 if ok:
                     hits[i].append(key)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.list_(pa.string()))], [*batch.schema.names, "hits"])
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["host"], batch["path"], pa.array(hits, pa.list_(pa.string()))], ["page_id", "host", "path", "hits"])
 
     return run
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", listed_pages: DataFrame | None = None) -> DataFrame:
     """Judge every URL: page_id, host, path, rule, verdict, listed (boolean)."""
-    entries = cut(entries_of(rules, listed))
+    entries = cut(entries_of(rules, listed, listed_pages))
     count = entries.count()
-    lengths = sorted(r[0] for r in entries.select(F.char_length("e_path")).distinct().collect())  # at most the longest path
+    sites = entries.where(F.col("e_host") != PAGE)
+    lengths = sorted(r[0] for r in sites.select(F.char_length("e_path")).distinct().collect())  # at most the longest path
+    labels = sites.agg(F.max(F.size(F.split("e_host", "[.]")))).first()[0] or 0
     keys = entries.select(F.col("e_host").alias("key")).unionByName(entries.select(_block_key(F.col("e_host"), F.col("e_path")).alias("key")))
     bloom = BlockedBloom.build(keys.distinct(), 2 * count)
 
-    url = F.col(url_col).cast("string")
-    rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    url = F.col(quoted(url_col)).cast("string")
+    rows = pages.select(F.col(quoted(id_col)).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), url.alias("url"))
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, host string, path string, hits array<string>"
-    probed = rows.mapInArrow(_probe(bloom, lengths), schema)
+    probed = rows.mapInArrow(_probe(bloom, lengths, labels, listed_pages is not None), schema)
     verdict = F.coalesce("verdict", F.when(F.col("listed"), "block").otherwise("allow"))
     none = F.lit(None).cast("string")
     clear = probed.where("size(hits) = 0").select("page_id", "host", "path", none.alias("rule"), F.lit("allow").alias("verdict"), F.lit(False).alias("listed"))

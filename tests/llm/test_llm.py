@@ -94,6 +94,24 @@ def test_url_filter(spark):
     assert none.count() == 0
 
 
+def test_url_canonical():
+    want = "a.org/b/c?q=1&r=%2F~"
+    for u in ("http://a.org/b/c?q=1&r=%2f%7e", "HTTPS://A.org:443/b/./x/../c?q=1&r=%2F~#top", "http://me:pw@a.org.:80/%62/c?q=1&r=%2f~", "http://a.org/../b/c?q=1&r=%2F~"):
+        assert url.canonical(u) == want
+    assert url.canonical("http://a.org") == url.canonical("http://A.ORG/?#x") == "a.org/" and url.canonical("http://a.org/b/..") == "a.org/"
+    assert url.canonical("http://a.org:443/") == "a.org:443/" and url.canonical(None) is None and url.canonical("a.org/b") is None and url.canonical("http://a.org/x/.") == "a.org/x/"
+
+
+def test_url_filter_listed_pages(spark):
+    rules = spark.createDataFrame([("b.org/", "allow")], "rule string, verdict string")
+    pages = spark.createDataFrame([("https://a.org/x/../bad?id=%7e1",), ("http://b.org/bad",), (None,), ("no scheme",)], "url string")
+    urls = ["http://A.org:80/bad?id=~1#f", "http://a.org/bad", "http://x.a.org/bad?id=~1", "https://b.org/bad", "http://c.org", None, "." * 5000, "http://" + "a." * 4000 + "b.org/bad"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "`page.id` long, `the url` string")
+    got = {r.page_id: (r.rule, r.verdict, r.listed) for r in url.url_filter(df, rules, None, "page.id", "the url", pages).collect()}
+    none = (None, "allow", False)
+    assert got == {0: (None, "block", True), 1: none, 2: none, 3: ("b.org/", "allow", True), 4: none, 5: none, 6: none, 7: ("b.org/", "allow", False)}
+
+
 def test_url_filter_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(url, "BROADCAST_ENTRIES", 0)
     df = spark.createDataFrame([(i, f"http://h{i % 50}.org/p{i}") for i in range(300)], "page_id long, url string")
@@ -547,6 +565,22 @@ def test_toxicity_learns_and_generalises(spark):
     assert left.columns == docs.columns and abs(left.count() - 750) < 20
 
 
+def test_toxicity_learns_from_the_same_rows_on_every_run(spark):
+    docs = [(i % 40, f"text {i}") for i in range(200)] + [(None, "x")]
+    labels = [(i, i % 2) for i in range(40)] + [(3, 1), (4, 1), (5, 7), (100, 0), (6, None)]  # 4 has two labels
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    runs = []
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        texts, y = tox.training_rows(df, lab, per_label=8)
+        runs.append((texts, y.tolist()))
+        few, z = tox.training_rows(df, lab, per_label=8, chars=20)
+        assert sum(len(t) for t, k in zip(few, z) if k == 0) <= 20 and set(few) <= set(texts)
+    assert runs[0] == runs[1] == runs[2] and Counter(runs[0][1]) == {0: 8, 1: 8}
+    ids = {int(t.split()[1]) % 40 for t in runs[0][0]}
+    assert len(ids) == 16 and not ids & {4, 5} and all(__import__("zlib").crc32(str(i).encode()) % 3 != 1 for i in ids)
+
+
 def test_toxicity_odd(odd, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert tox.fit(odd, none) is None
@@ -638,6 +672,68 @@ def test_exits_that_are_not_drawn_cannot_win(pieces, monkeypatch):
     assert [(a.tolist(), b, c) for a, b, c in few[0][:-1]] == [(a.tolist(), b, c) for a, b, c in every[0][:-1]] and few[0][-1] == every[0][-1]
 
 
+def test_stages_keep_columns_and_tell_repeated_ids_apart(spark, tmp_path):
+    """Repeated ids and rows, clashing and dotted names, an id that isn't a number, and no documents at all."""
+    import corpus_pipeline
+
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [("x", "a b", 1), ("x", "a   b", 2), ("x", "a  b", 3), ("y", long, 4), ("y", long + " more", 5), ("y", "something else", 6), ("z", None, 7), (None, "", 8), ("y", "something else", 6)]
+    df = spark.createDataFrame([(*r, "p", "q", "r", "s") for r in rows], "doc_id string, text string, `a.b` int, _sha string, h1 string, maybe string, id string")
+    spark.createDataFrame([], "doc_id string, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(7, "never seen in any text of these")], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, empty = df, df.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, empty = stage(spark, docs, str(tmp_path)), stage(spark, empty, str(tmp_path))
+        assert docs.columns == empty.columns == df.columns and empty.count() == 0
+    got = {(r["doc_id"], r["text"], r["a.b"]) for r in docs.collect()}
+    assert len(got) == docs.count() == 4 and {g[2] for g in got} - {7, 8} == {2, 4, 6} and ("x", "a   b", 2) in got
+    assert {g[2] for g in got} & {7, 8} == {8}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).where("sample = 0").count() == 4
+
+
+def test_decontaminate_item_ids_of_any_type(spark):
+    text = "some words of an item that stands in a text and in no other place"
+    df = spark.createDataFrame([(1, f"before {text} after"), (2, "nothing")], "doc_id long, text string")
+    for kind, value in (("int", 3), ("string", "q-3"), ("long", 3), ("decimal(5,2)", None)):
+        items = spark.createDataFrame([(value, text)], f"item_id {kind}, text string")
+        rows = leak.contaminated(df, items).collect()
+        assert [(r.doc_id, r.item_id) for r in rows] == [(1, value)] and leak.contaminated(df, items).schema["item_id"].dataType == items.schema["item_id"].dataType
+
+
+def test_decontaminate_against_alignment_of_all_pairs(spark):
+    """Seeds find every document whose whole alignment with an item reaches the threshold."""
+    rng, v = random.Random(21), vocabulary(1500, 11)
+    items = [(k, [rng.choice(v) for _ in range(rng.randint(15, 59))]) for k in range(10)]
+    docs = []
+    for i in range(150):
+        w = [rng.choice(v) for _ in range(rng.randint(20, 120))]
+        if i % 2:
+            w[5:5] = edited(items[i % 10][1], rng, rng.choice([0.0, 0.1, 0.2, 0.3, 0.4]))
+        docs.append((i, w))
+    got = {(r.doc_id, r.item_id) for r in leak.contaminated(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()}
+    number, want = {}, set()
+    ids = lambda w: np.array([number.setdefault(x, len(number)) for x in w])
+    for i, w in docs:
+        for k, x in items:
+            score, _ = leak.align(ids(x), ids(w))
+            if score >= min(leak.THRESHOLD * leak.MATCH * len(x), leak.MATCH * leak.PASSAGE):
+                want.add((i, k))
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 40
+
+
+def test_no_local_folder_for_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from corpusmill.llm import common
+
+    context = SimpleNamespace(master="spark://there", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        common.shared_folder(session)
+    session.conf.get = lambda *a: "/shared"
+    assert common.shared_folder(session) == "/shared"
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
