@@ -51,8 +51,8 @@ from .words import U, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 1.0, 17
-SLICE_CHARS, REUSE, SLOT_BITS = 500_000, 8, 20
-KEPT_NODES, BLOCK, SHIFT, NEAR = 1_000_000, 400, 4, 64
+SLICE_CHARS, REUSE, SLOT_BITS = 120_000, 8, 20
+KEPT_NODES, BLOCK, SHIFT, NEAR = 400_000, 400, 4, 64
 #: No exponential variable drawn from 53 bits has a logarithm below this.
 LEAST_LOG_NOISE = -37.5
 MARK, LITERAL_MARK = "▁", "\udc81"  # the space mark, and what stands for a literal one inside the operator
@@ -439,35 +439,35 @@ def inclusion(log_prob: float, kappa: float) -> float:
     return x if x < -30 else math.log(-math.expm1(-math.exp(min(x, 700.0))))
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Runs of texts of some ``SLICE_CHARS`` characters together, or one longer text."""
     lo = chars = 0
-    for i, t in enumerate(texts):
-        if i > lo and chars + len(t) > SLICE_CHARS:
+    for i, n in enumerate(sizes):
+        if i > lo and chars + n > SLICE_CHARS:
             yield lo, i
             lo, chars = i, 0
-        chars += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+        chars += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 def _sample(pieces: Pieces, k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(pieces)
         for batch in batches:
-            texts = pc.fill_null(batch["text"], "").to_pylist()
-            keys = np.array([xxhash.xxh64_intdigest(str(x), seed) for x in batch["doc_id"].to_pylist()], U)
-            for lo, hi in _slices(texts):
+            for lo, hi in _slices(pc.fill_null(pc.utf8_length(batch["text"]), 0).to_pylist()):
+                texts = pc.fill_null(batch["text"].slice(lo, hi - lo), "").to_pylist()
+                keys = np.array([xxhash.xxh64_intdigest(str(x), seed) for x in batch["doc_id"].slice(lo, hi - lo).to_pylist()], U)
                 if lattices.nodes > KEPT_NODES:
                     lattices.clear()
-                part = Slice(texts[lo:hi], keys[lo:hi], lattices, seed)
+                part = Slice(texts, keys, lattices, seed)
                 row, number, ids, lp, value, score, same = [], [], [], [], [], [], []
                 for i, (*samples, kappa) in enumerate(part.search(k)):
                     for j, (edges, p, g) in enumerate(samples):
                         x = part.ids(edges, pieces.byte0)
                         row.append(lo + i), number.append(j), ids.append(x), lp.append(p), value.append(g)
                         score.append(inclusion(p, kappa))
-                        same.append(pieces.decode(x) == texts[lo + i])
+                        same.append(pieces.decode(x) == texts[i])
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else [], pa.int32())),

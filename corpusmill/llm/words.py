@@ -11,7 +11,7 @@ U = np.uint64
 #: An odd base and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 class WordHashes(dict):
