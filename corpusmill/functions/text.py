@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType
 
 WS = r"[\s\u0085   -     　\x1C-\x1F]"  # Unicode white space, as Python's \s
 NOT_WORD = r"[^\p{L}\p{N}_\s]"
@@ -150,6 +152,22 @@ def merged_tags(a: Column, b: Column, limit: int = 15) -> Column:
     return F.slice(F.sort_array(F.array_union(F.coalesce(a, empty), F.coalesce(b, empty))), 1, limit)
 
 
+@F.pandas_udf(MapType(StringType(), ArrayType(IntegerType())))
+def inverted_index(words: pd.Series) -> pd.Series:
+    """Positions of each word of an array, in one pass; nulls are left out."""
+
+    def index(array) -> dict | None:
+        if array is None:
+            return None
+        out: dict[str, list[int]] = {}
+        for i, w in enumerate(array):
+            if w is not None:
+                out.setdefault(w, []).append(i)
+        return out
+
+    return words.map(index)
+
+
 def text_of_inverted_index(index: Column, keep_gaps: bool = False) -> Column:
     """Words of ``map<word, positions>`` in order; on a collision the last word in map order stays."""
     placed = F.transform(F.map_entries(index), lambda e, k: F.transform(e["value"], lambda p: F.struct(p.cast("int").alias("p"), k.alias("k"), e["key"].alias("w"))))
@@ -222,6 +240,12 @@ def ranked_pdf_urls(best: Column, oa_url: Column, locations: Column, primary: Co
     return F.array_distinct(F.filter(F.flatten(F.array(*parts)), lambda u: u.isNotNull()))
 
 
+def has_pdf(primary: Column, best: Column, locations: Column) -> Column:
+    """Whether any location names a PDF file."""
+    named = lambda x: F.coalesce(F.trim(x["pdf_url"]) != "", F.lit(False))
+    return named(primary) | named(best) | F.coalesce(F.exists(locations, named), F.lit(False))
+
+
 def landing_urls(primary: Column, best: Column, oa_url: Column, locations: Column) -> Column:
     all_of = F.concat(
         F.array(clean_string(primary["landing_page_url"]), clean_string(best["landing_page_url"]), clean_string(oa_url)),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 
 def field_coverage(df: DataFrame, filled: dict[str, Column]) -> DataFrame:
     """Per field: filled, missing, pct; one pass over the rows."""
@@ -23,23 +26,31 @@ def value_counts(df: DataFrame, c: Column, n: int = 15, missing: str = "Unknown"
 def percentiles(df: DataFrame, c: Column, points: Sequence[float], kind: str = "linear", by: Sequence[str] = ()) -> DataFrame:
     """Columns p<point>: ``linear`` interpolates, ``nearest`` takes rank ceil(p n), ``rounded`` index round-half-even(p (n - 1)).
 
-    The discrete ones rank counts of distinct values: tasks combine equal values before the
-    shuffle, and no list of all values is made.
+    Distinct values are counted, dealt by ranges, and added up within a range; the ranges' totals say
+    how many stand before each. No task sees all values of a group, and no list of them is made.
     """
     x = c.cast("double")
-    if kind == "linear":
-        out = [F.percentile(x, F.lit(p)).alias(_name(p)) for p in points]
-        return df.groupBy(*by).agg(*out)
     counts = df.where(c.isNotNull()).groupBy(*by, x.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_v"))).withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
+    ranged = checkpointed(counts.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(*by, "_part").agg(F.sum("_n").alias("_sum"))  # a row for each range and group
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*(F.col(k).alias(f"_o{i}") for i, k in enumerate(by)), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(*by)).alias("_total"))
+    same = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(by)]
+    joined = ranged.join(offsets, functools.reduce(lambda a, b: a & b, same, F.col("_part") == F.col("_p")))
+    upto = joined.withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy("_v")))
     n = F.col("_total")
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))  # noqa: E731  the value of a rank, from 1
 
-    def rank(p: float) -> Column:  # from 1
+    def value(p: float) -> Column:
         if kind == "nearest":
-            return F.greatest(F.lit(1), F.least(n, F.ceil(F.round(n * p, 9))))
-        return F.bround((n - 1) * F.lit(float(p))).cast("long") + 1
+            return at(F.greatest(F.lit(1), F.least(n, F.ceil(F.round(n * p, 9)))))
+        place = (n - 1) * F.lit(float(p))
+        if kind == "rounded":
+            return at(F.bround(place).cast("long") + 1)
+        low, high = at(F.floor(place) + 1), at(F.ceil(place) + 1)
+        return F.when(low == high, low).otherwise(low + (high - low) * F.max(place - F.floor(place)))
 
-    return upto.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") >= rank(p), F.col("_v"))).alias(_name(p)) for p in points))
+    return upto.groupBy(*by).agg(*(value(p).alias(_name(p)) for p in points))
 
 
 def _name(p: float) -> str:
@@ -63,6 +74,16 @@ def log_histogram(df: DataFrame, c: Column, per_decade: int = 1) -> DataFrame:
     return df.where(c.isNotNull()).groupBy(at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def histogram_clipped(df: DataFrame, c: Column, bins: int, top: float = 0.99) -> DataFrame:
+    """(bin, low, high, n): equal bins from the least value to a percentile; what is above it is left out."""
+    limits = percentiles(df, c, (top,)).crossJoin(df.agg(F.min(c).cast("double").alias("_low"))).select("_low", F.col(_name(top)).alias("_high"))
+    rows = df.where(c.isNotNull()).select(c.cast("double").alias("_v")).crossJoin(F.broadcast(limits)).where("_v <= _high")
+    width = (F.col("_high") - F.col("_low")) / bins
+    at = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_low")) / width))).otherwise(0).cast("long")
+    out = rows.groupBy(at.alias("bin"), "_low", width.alias("_w")).agg(F.count(F.lit(1)).alias("n"))
+    return out.select("bin", (F.col("_low") + F.col("bin") * F.col("_w")).alias("low"), (F.col("_low") + (F.col("bin") + 1) * F.col("_w")).alias("high"), "n")
+
+
 def boxplot(df: DataFrame, c: Column, limits: Sequence[float] = ()) -> DataFrame:
     """Quartiles, upper fence, outliers beyond it, and counts beyond given limits; two passes over one column."""
     q = df.agg(*(F.percentile(c, F.lit(p)).alias(k) for p, k in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))))
@@ -124,6 +145,38 @@ def error_summary(df: DataFrame, errors: str) -> DataFrame:
     )
 
 
+def without_result(df: DataFrame, results: Column, expected: Column) -> DataFrame:
+    """Rows none of whose results is there: in all, with results expected, and without."""
+    none = ~F.coalesce(F.exists(results, lambda x: F.trim(x) != ""), F.lit(False))
+    some = F.coalesce(expected > 0, F.lit(False))
+    return df.agg(F.count_if(none).alias("no_result"), F.count_if(none & some).alias("expected"), F.count_if(none & ~some).alias("not_expected"))
+
+
+def changed(before: DataFrame, after: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """One row: rows in both, rows in which any of the columns changed (null counts as a value), and changes per column."""
+    joined = before.select(key, *(F.col(c).alias(f"_b_{c}") for c in columns)).join(after.select(key, *(F.col(c).alias(f"_a_{c}") for c in columns)), key)
+    differs = {c: ~F.col(f"_b_{c}").eqNullSafe(F.col(f"_a_{c}")) for c in columns}
+    some = F.lit(False)
+    for d in differs.values():
+        some = some | d
+    return joined.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(some).alias("n_changed"), *(F.count_if(d).alias(f"changed_{c}") for c, d in differs.items()))
+
+
+def statistics(df: DataFrame, filled: dict[str, Column], present: dict[str, Column], either: tuple[str, str], key: Sequence[str], stats: Sequence[str]) -> DataFrame:
+    """One row of counters over records, in one pass: rows, every ``filled`` and ``present`` predicate, the sum of the ``either``
+    pair (rows with both count twice), rows with any of the pair, with all ``key`` fields and any of the pair, with all ``stats``
+    fields, and with all of these."""
+    flags = {k: F.coalesce(c, F.lit(False)) for k, c in (filled | present).items()}
+    every = lambda names: functools.reduce(lambda a, b: a & b, (flags[n] for n in names), F.lit(True))
+    any_of = flags[either[0]] | flags[either[1]]
+    core, numbers = every(key) & any_of, every(stats)
+    return df.agg(
+        F.count(F.lit(1)).alias("total"), *(F.count_if(c).alias(k) for k, c in flags.items()),
+        (F.count_if(flags[either[0]]) + F.count_if(flags[either[1]])).alias("either_sum"), F.count_if(any_of).alias("either"),
+        F.count_if(core).alias("all_key"), F.count_if(numbers).alias("all_stats"), F.count_if(core & numbers).alias("all"),
+    )
+
+
 def ids_by_error(df: DataFrame, key: str, errors: str) -> DataFrame:
     flat = df.select(key, F.explode(errors).alias("error")).where("error is not null").distinct()
     return flat.groupBy("error").agg(F.sort_array(F.collect_list(key)).alias("ids"))

@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import join_hyphenated
@@ -84,11 +86,75 @@ def quote_exact(quote: Column, value_empty: Column, text: Column, least: int = M
 
 
 def verify_quotes(df: DataFrame, quote: str, value_empty: Column, text: str, threshold: float = THRESHOLD, least: int = MIN_QUOTE) -> DataFrame:
-    """Adds ``verified``. Rows that an exact test decides never reach Python."""
+    """Adds ``verified``, in one pass. Texts of rows that an exact test decides never reach Python."""
     staged = df.withColumn("_stage", quote_exact(F.col(quote), value_empty, F.col(text), least))
-    sure = staged.where("_stage != 'fuzzy'").withColumn("verified", F.col("_stage") == "ok")
-    doubt = staged.where("_stage = 'fuzzy'").withColumn("verified", F.coalesce(ratio_udf(threshold)(join_hyphenated(F.col(quote)), join_hyphenated(F.col(text))) >= threshold, F.lit(False)))
-    return sure.unionByName(doubt).drop("_stage")
+    doubt = F.col("_stage") == "fuzzy"
+    score = ratio_udf(threshold)(F.when(doubt, join_hyphenated(F.col(quote))), F.when(doubt, join_hyphenated(F.col(text))))
+    return staged.withColumn("verified", F.when(doubt, F.coalesce(score >= threshold, F.lit(False))).otherwise(F.col("_stage") == "ok")).drop("_stage")
+
+
+def verify_fields(df: DataFrame, key: str, fields: Sequence[str], texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``df`` with failed evidence nulled; its quotes meet the texts once, however many fields there are."""
+    one = [F.struct(F.lit(f).alias("field"), F.col(f)["verbatim_source"].alias("_q"), F.coalesce(F.col(f)["value"].isNull(), F.lit(True)).alias("_empty")) for f in fields]
+    long = df.select(key, F.explode(F.array(*one)).alias("x")).select(key, "x.*").join(texts, key, "left")
+    bad = verify_quotes(long, "_q", F.col("_empty"), "text", threshold).where("not verified").groupBy(key).agg(F.collect_set("field").alias("_bad"))
+    joined = df.join(bad, key, "left")
+    ok = {f: ~F.coalesce(F.array_contains("_bad", f), F.lit(False)) for f in fields}
+    return joined.withColumns({f: nullify(F.col(f), ok[f]) for f in fields}).drop("_bad")
+
+
+#: Passages, and characters of them, that are sent to the tasks at once; more are taken in several passes.
+SENT_PASSAGES, SENT_CHARS = 100_000, 20_000_000
+
+
+def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
+    """Rows (id, passage), read one block at a time."""
+    block, chars = [], 0
+    for r in items.toLocalIterator():
+        if block and (len(block) >= SENT_PASSAGES or chars + len(r[1]) > SENT_CHARS):
+            yield block
+            block, chars = [], 0
+        block.append((r[0], r[1]))
+        chars += len(r[1])
+    if block:
+        yield block
+
+
+def _holders(block: list[tuple], kind: pa.DataType):
+    """All but the first and the last word of a passage are whole words of a text that holds it: the longest of them is looked up."""
+    by_word: dict[str, list[tuple]] = {}
+    short = []
+    for i, q in block:
+        inner = q.split(" ")[1:-1]
+        (by_word.setdefault(max(inner, key=len), []) if inner else short).append((i, q))
+    words = by_word.keys()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, found = [], []
+            for k, d in enumerate(batch["d"].to_pylist()):
+                met = [i for i, q in short if q in d] + [i for w in words & set(d.split(" ")) for i, q in by_word[w] if q in d]
+                row += [k] * len(met)
+                found += met
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row, pa.int64())), pa.array(found, kind)], ["doc_id", "item_id"])
+
+    return run
+
+
+def held_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
+    """(doc_id, item_id) where a text holds a passage as a substring; words stand apart by single spaces in both.
+
+    Texts are tested where they are, and nothing but the result shuffles; there is a pass over the texts
+    for every ``SENT_PASSAGES`` passages. Null texts and passages match nothing; an empty passage is in every text.
+    """
+    d = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("d"))
+    q = items.where(F.col(passage).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(passage).alias("q")).distinct()
+    ddl = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, item_id {q.schema['item_id'].dataType.simpleString()}"
+    out = None
+    for block in _blocks(q):
+        part = d.mapInArrow(_holders(block, to_arrow_type(q.schema["item_id"].dataType)), ddl)
+        out = part if out is None else out.unionByName(part)
+    return d.sparkSession.createDataFrame([], ddl) if out is None else out.distinct()
 
 
 def verdict(checks: Column, text: Column) -> Column:

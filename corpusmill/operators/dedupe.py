@@ -18,9 +18,14 @@ def _present(key: Column) -> Column:
     return key.isNotNull() & (key.cast("string") != "")
 
 
+def digest(key: Column) -> Column:
+    """What a key is grouped by: 256 bits, however long it is; null stays null."""
+    return F.sha2(key.cast("string"), 256)
+
+
 def _winner(df: DataFrame, key: Column, order: Column, first: bool) -> DataFrame:
     pick = F.min_by if first else F.max_by
-    return df.groupBy(key.alias("_key")).agg(pick(F.struct(*df.columns), order).alias("_row")).select("_row.*")
+    return df.groupBy(digest(key).alias("_key")).agg(pick(F.struct(F.col("*")), order).alias("_row")).select("_row.*")
 
 
 def first_wins(df: DataFrame, key: Column, order: Column, keep_missing: bool = True) -> DataFrame:

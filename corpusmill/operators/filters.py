@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,11 +73,79 @@ def needs_fallback(text: Column, failures: Sequence[str], repeated: Column) -> C
     return (F.coalesce(F.trim(text), F.lit("")) == "") | contains_any(text, failures) | F.coalesce(repeated, F.lit(False))
 
 
+def url_ok(c: Column) -> Column:
+    """A string that isn't blank."""
+    return F.coalesce(F.trim(c) != "", F.lit(False))
+
+
+def any_filled(df: DataFrame, flags: Sequence[Column]) -> DataFrame:
+    """Rows in which at least one field counts as filled; ``flags`` are predicates that are never null."""
+    some = F.lit(False)
+    for f in flags:
+        some = some | f
+    return df.where(some)
+
+
+def _said(c: Column, many: bool) -> Column:
+    return F.coalesce(F.exists(c, lambda x: F.trim(x) != "") if many else F.trim(c) != "", F.lit(False))
+
+
+def has_boolean_queries(queries: Column, many: bool = False) -> Column:
+    """Some item of an array of structs has a query text that isn't blank; with ``many`` texts are lists of strings."""
+    return F.coalesce(F.exists(queries, lambda q: _said(q["boolean_query_string"], many)), F.lit(False))
+
+
+def has_database_info(databases: Column, queries: Column, many: bool = False) -> Column:
+    """A list of databases with an item that isn't blank, or a source in some query."""
+    return _said(databases, True) | F.coalesce(F.exists(queries, lambda q: _said(q["database_source"], many)), F.lit(False))
+
+
+def length_ordered(df: DataFrame, length: Column) -> DataFrame:
+    """Rows in ranges of ascending length, sorted within each: batches of neighbours are of about equal length."""
+    return df.withColumn("_n", length).repartitionByRange("_n").sortWithinPartitions("_n").drop("_n")
+
+
 def language_verdict(text: Column, cleaned: Column, label: Column, score: Column, least: float = 0.85) -> Column:
     """Short texts fail, texts that clean up to little pass, else the label must hold "en" with enough score."""
     by_model = F.contains(label, F.lit("en")) & (score >= least)
     return F.coalesce(F.when(F.length(text) < 100, False).when(F.length(cleaned) < 50, True).otherwise(by_model), F.lit(False))
 
 
+def language_filter(df: DataFrame, text: str, model: Callable[[list[str]], list[tuple[str, float]]], least: float = 0.85) -> DataFrame:
+    """Adds ``is_english`` by a pluggable model, a function from cleaned texts to (label, score); texts that a rule decides don't reach it."""
+    from pyspark.sql.types import StructType
+
+    from ..functions.text import strip_markup
+
+    @F.pandas_udf(StructType.fromDDL("label string, score double"))
+    def judged(c: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"label": [None] * len(c), "score": [None] * len(c)}, index=c.index)
+        some = c[c.notna()]
+        if len(some):
+            found = model(some.tolist())
+            out.loc[some.index, "label"], out.loc[some.index, "score"] = [x[0] for x in found], [float(x[1]) for x in found]
+        return out.astype({"score": float})
+
+    clean = strip_markup(F.col(text))
+    asked = df.withColumn("_c", clean).withColumn("_m", judged(F.when((F.length(text) >= 100) & (F.length("_c") >= 50), F.col("_c"))))
+    return asked.withColumn("is_english", language_verdict(F.col(text), F.col("_c"), F.col("_m.label"), F.col("_m.score"), least)).drop("_c", "_m")
+
+
+def token_lengths(df: DataFrame, text: str, tokenizer: Callable[[], Callable[[list[str]], list[int]]], name: str = "token_count") -> DataFrame:
+    """Adds how many tokens a pluggable tokenizer makes of each text; it is made once per task. Null texts count as empty."""
+    schema = _schema_with(df, f"`{name}` int")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = tokenizer()
+        for frame in frames:
+            yield frame.assign(**{name: count(["" if x is None else x for x in frame[text]])})
+
+    return df.mapInPandas(run, schema)
+
+
+def _schema_with(df: DataFrame, more: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {more}"
+
+
 def cohort(has_query: Column, has_keywords: Column) -> Column:
     return F.when(has_query & has_keywords, "both").when(has_query, "has_boolean").when(has_keywords, "keywords_only").otherwise("neither")

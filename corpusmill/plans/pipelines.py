@@ -28,8 +28,10 @@ def corpus_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.lower("text")
     rules = [("language", P.is_english(F.col("lang"))), ("excluded", ~P.contains_any(t, ("for the", "to the"))), ("not_included", P.contains_any(t, ("of the", "and the")))]
     judged = P.with_reason(docs, rules)
-    kept = D.first_wins(judged.where("reason is null"), T.title_key_plain(F.col("text")), F.col("doc_id"))
-    rows = kept.select("doc_id", F.lit("kept").alias("reason")).unionByName(judged.where("reason is not null").select("doc_id", "reason"))
+    # a row that goes is a group of its own, so that texts are read once and only digests shuffle
+    key = F.when(F.col("reason").isNull(), D.digest(T.title_key_plain(F.col("text")))).otherwise(F.col("doc_id").cast("string"))
+    first = judged.select("doc_id", "reason", key.alias("key")).groupBy("reason", "key").agg(F.min("doc_id").alias("doc_id"))
+    rows = first.select("doc_id", F.coalesce("reason", F.lit("kept")).alias("reason"))
     joined = rows.join(labels, "doc_id", "left")
     cohort = F.when(F.col("quality").isNull(), "unlabelled").when(F.col("quality") == 1, "good").otherwise("poor")
     return joined.groupBy("reason", cohort.alias("cohort")).agg(F.count(F.lit(1)).alias("n"))
@@ -78,13 +80,10 @@ def final_dataset(extractions: DataFrame, corpus: DataFrame, texts: DataFrame, s
 
     ``extractions`` (doc_id, evidence structs of string values), ``texts`` (doc_id, text), ``corpus`` with id and year.
     """
-    joined = extractions.join(texts, "doc_id", "left")
-    for f in fields:
-        joined = joined.withColumn("_q", F.col(f)["verbatim_source"])
-        joined = align.verify_quotes(joined, "_q", F.coalesce(F.col(f)["value"].isNull(), F.lit(True)), "text").withColumn(f, align.nullify(F.col(f), F.col("verified"))).drop("_q", "verified")
+    joined = align.verify_fields(extractions, "doc_id", fields, texts)
     checked = align.fact_check(align.pairs(joined, "doc_id", fields), scorer).where("status != 'PASS'")
     failed = checked.groupBy("doc_id").agg(F.collect_set("field").alias("_failed"))
-    clean = joined.drop("text").join(failed, "doc_id", "left")
+    clean = joined.join(failed, "doc_id", "left")
     bare = clean.select("doc_id", *(F.when(~F.coalesce(F.array_contains("_failed", f), F.lit(False)), F.col(f)["value"]).alias(f) for f in fields))
     meta = corpus.withColumn("doc_id", T.after_last_slash(F.col("id")))
     out = J.override_join(meta, bare, "doc_id", "doc_id")

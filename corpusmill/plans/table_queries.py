@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import boolean as B
 from ..functions import evidence as E
 from ..functions import records as R
+from ..functions import text as T
 from ..functions.years import normalise_year_range
 from ..operators import aggregate as A
 from ..operators import filters as P
 from ..operators import joins as J
+from ..sources import remote
 from .registry import query
 
 _RAW = {
@@ -228,19 +230,37 @@ def json_props(t, spark):
     return t("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("""WITH e AS (SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, value FROM events)
-SELECT event_id, k IS NOT NULL AS completeness, coalesce(k <> 0, false) AS statistic, k IS NOT NULL AS slim, coalesce(k <> 0, false) AS explored FROM e""")
+@query("""WITH e AS (SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events),
+r AS (SELECT event_id, k, CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN [] WHEN 2 THEN [' '] WHEN 3 THEN [NULL, 'a'] ELSE ['a', 'b'] END::VARCHAR[] AS l,
+ CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN [] WHEN 2 THEN [NULL, 'q'] WHEN 3 THEN ['  ', 'q'] ELSE ['q'] END::VARCHAR[] AS q FROM e)
+SELECT event_id, k IS NOT NULL AS completeness, coalesce(k <> 0, false) AS statistic, k IS NOT NULL AS slim, coalesce(k <> 0, false) AS explored,
+ coalesce(len(l) > 0, false) AS list_value, coalesce(len(list_filter(l, lambda x: trim(x) <> '')) > 0, false) AS text_list, l IS NOT NULL AS list_present,
+ coalesce(len(list_filter(l, lambda x: trim(x) <> '')) > 0, false) AS list_statistic, coalesce(len(l) > 0, false) AS list_slim, coalesce(len(l) > 0, false) AS list_explored,
+ coalesce(q[1] IS NOT NULL, false) AS first_query, coalesce(len(list_filter(q, lambda x: trim(x) <> '')) > 0, false) AS any_query FROM r""")
 def filled_variants(t, spark):
+    """The rules for filled fields, on numbers, lists of strings and lists of structs."""
     k = F.from_json("props", "k bigint")["k"]
-    ev = F.struct(k.alias("value"))
-    return t("events").select("event_id", E.value_filled(ev).alias("completeness"), E.statistic_filled(k, "number").alias("statistic"), E.slim_filled(k, "number").alias("slim"), E.explored(k, "number").alias("explored"))
-
-
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber AS i, l_partkey AS v FROM lineitem WHERE l_linenumber % 2 = 1)
-SELECT l_orderkey, 5 AS n, [max(v) FILTER (i = 1), max(v) FILTER (i = 2), max(v) FILTER (i = 3), max(v) FILTER (i = 4), max(v) FILTER (i = 5)] AS v FROM r GROUP BY 1""")
+    none, texts = F.lit(None).cast("string"), lambda *x: F.array(*x).cast("array<string>")
+    a, b, q = F.lit("a"), F.lit("b"), F.lit("q")
+    ls = F.when(k % 6 == 0, None).when(k % 6 == 1, texts()).when(k % 6 == 2, texts(F.lit(" "))).when(k % 6 == 3, texts(none, a)).when(k.isNotNull(), texts(a, b)).otherwise(texts(a, b))
+    qs = F.when(k % 5 == 0, None).when(k % 5 == 1, texts()).when(k % 5 == 2, texts(none, q)).when(k % 5 == 3, texts(F.lit("  "), q)).otherwise(texts(q))
+    rows = t("events").select("event_id", k.alias("k"), ls.alias("l"), F.transform(qs, lambda x: F.struct(x.alias("boolean_query_string"), F.lit("d").alias("database_source"))).alias("q"))
+    ev, lv = F.struct(F.col("k").alias("value")), F.struct(F.col("l").alias("value"))
+    return rows.select(
+        "event_id", E.value_filled(ev).alias("completeness"), E.statistic_filled(F.col("k"), "number").alias("statistic"), E.slim_filled(F.col("k"), "number").alias("slim"),
+        E.explored(F.col("k"), "number").alias("explored"), E.list_value_filled(lv).alias("list_value"), E.text_list_filled(lv).alias("text_list"), E.value_present(lv).alias("list_present"),
+        E.statistic_filled(F.col("l"), "list").alias("list_statistic"), E.slim_filled(F.col("l"), "list").alias("list_slim"), E.explored(F.col("l"), "list").alias("list_explored"),
+        E.first_query_filled(F.col("q")).alias("first_query"), E.any_query_filled(F.col("q")).alias("any_query"),
+    )
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber AS i, CASE WHEN l_linenumber % 2 = 1 THEN l_partkey END AS v FROM lineitem)
+SELECT l_orderkey, 7 AS n, [max(v) FILTER (i = 1), max(v) FILTER (i = 2), max(v) FILTER (i = 3), max(v) FILTER (i = 4), max(v) FILTER (i = 5), max(v) FILTER (i = 6), max(v) FILTER (i = 7)] AS v FROM r GROUP BY 1""")
 def realign_results(t, spark):
-    rows = t("lineitem").where("l_linenumber % 2 = 1").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("v")).withColumn("n", F.lit(5))
-    return J.realign(rows, "l_orderkey", "l_linenumber", "v", "n").withColumn("n", F.lit(5))
+    """Results by number back into lists of seven; those of even numbers are missing values."""
+    value = F.when(F.col("l_linenumber") % 2 == 1, F.col("l_partkey"))
+    rows = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(value).alias("v")).withColumn("n", F.lit(7))
+    return J.realign(rows, "l_orderkey", "l_linenumber", "v", "n").withColumn("n", F.lit(7))
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (e IS NULL) AS missing_errors, count(*) FILTER (len(e) = 0) AS no_queries, count(*) FILTER (len(e) = 1 AND e[1] IS NULL) AS ok,
@@ -267,11 +287,93 @@ def presence_distribution(t, spark):
     return A.presence(t("events"), "props")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (c_acctbal > 0) AS a, count(*) FILTER (c_nationkey > 12) AS b, count(*) FILTER (c_acctbal > 0 AND c_nationkey > 12) AS a_and_b, count(*) FILTER (c_acctbal > 0 OR c_nationkey > 12) AS a_or_b, count(*) FILTER (c_acctbal > 0) + count(*) FILTER (c_nationkey > 12) AS a_or_b_sum FROM customer")
+_RECORD = """SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_name ELSE '' END AS title, CASE WHEN p_size % 5 <> 0 THEN p_type END AS abstract,
+ CASE WHEN p_size % 3 = 0 THEN [p_brand] WHEN p_size % 3 = 1 THEN [] END AS inclusion, CASE WHEN p_size % 4 = 0 THEN [p_brand] END AS exclusion,
+ CASE WHEN p_size % 11 = 0 THEN NULL WHEN p_size % 11 = 1 THEN 0 ELSE p_size END AS n_studies, CASE p_size % 6 WHEN 0 THEN NULL WHEN 1 THEN [' '] ELSE ['q'] END AS queries,
+ CASE WHEN p_size % 9 = 0 THEN ['db'] END AS databases FROM part"""
+
+
+def _records(part):
+    """Records with evidence that is missing, empty, blank or there, made from sizes."""
+    size, none = F.col("p_size"), F.lit(None).cast("array<string>")
+    query = F.when(size % 6 == 0, none).when(size % 6 == 1, F.array(F.lit(" "))).otherwise(F.array(F.lit("q")))
+    return part.select(
+        "p_partkey", F.when(size % 7 != 0, F.col("p_name")).otherwise("").alias("title"), F.when(size % 5 != 0, F.col("p_type")).alias("abstract"),
+        F.when(size % 3 == 0, F.array("p_brand")).when(size % 3 == 1, F.array().cast("array<string>")).alias("inclusion"), F.when(size % 4 == 0, F.array("p_brand")).alias("exclusion"),
+        F.when(size % 11 == 0, None).when(size % 11 == 1, 0).otherwise(size).alias("n_studies"),
+        F.transform(query, lambda x: F.struct(x.alias("boolean_query_string"), x.alias("database_source"))).alias("queries"), F.when(size % 9 == 0, F.array(F.lit("db"))).alias("databases"),
+    )
+
+
+_SAID = "coalesce(len(list_filter(queries, lambda x: trim(x) <> '')) > 0, false)"
+_KEY = f"title <> '' AND coalesce(abstract, '') <> '' AND {_SAID} AND (coalesce(len(inclusion), 0) > 0 OR coalesce(len(exclusion), 0) > 0)"
+_STATS = f"(coalesce(len(databases), 0) > 0 OR {_SAID}) AND n_studies IS NOT NULL"
+
+
+@query(f"""SELECT count(*) AS total, count(*) FILTER (title <> '') AS title, count(*) FILTER (coalesce(abstract, '') <> '') AS abstract, count(*) FILTER ({_SAID}) AS queries,
+ count(*) FILTER (coalesce(len(inclusion), 0) > 0) AS inclusion, count(*) FILTER (coalesce(len(exclusion), 0) > 0) AS exclusion,
+ count(*) FILTER (coalesce(len(databases), 0) > 0 OR {_SAID}) AS databases, count(*) FILTER (n_studies IS NOT NULL) AS n_studies,
+ count(*) FILTER (coalesce(len(inclusion), 0) > 0) + count(*) FILTER (coalesce(len(exclusion), 0) > 0) AS either_sum,
+ count(*) FILTER (coalesce(len(inclusion), 0) > 0 OR coalesce(len(exclusion), 0) > 0) AS "either", count(*) FILTER ({_KEY}) AS all_key, count(*) FILTER ({_STATS}) AS all_stats,
+ count(*) FILTER ({_KEY} AND {_STATS}) AS "all" FROM ({_RECORD})""")
 def corpus_statistics(t, spark):
+    """Counters over records: filled, present and conjunctive ones in one pass."""
+    rows = _records(t("part"))
+    filled = {k: E.statistic_filled(F.col(k), kind) for k, kind in (("title", "string"), ("abstract", "string"))}
+    filled |= {"queries": P.has_boolean_queries(F.col("queries")), "inclusion": E.explored(F.col("inclusion"), "list"), "exclusion": E.explored(F.col("exclusion"), "list")}
+    present = {"databases": P.has_database_info(F.col("databases"), F.col("queries")), "n_studies": F.col("n_studies").isNotNull()}
+    return A.statistics(rows, filled, present, ("inclusion", "exclusion"), ("title", "abstract", "queries"), ("databases", "n_studies"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (c_acctbal > 0) AS a, count(*) FILTER (c_nationkey > 12) AS b, count(*) FILTER (c_acctbal > 0 AND c_nationkey > 12) AS a_and_b, count(*) FILTER (c_acctbal > 0 OR c_nationkey > 12) AS a_or_b, count(*) FILTER (c_acctbal > 0) + count(*) FILTER (c_nationkey > 12) AS a_or_b_sum FROM customer")
+def conjunction_counts(t, spark):
     return A.conjunctions(t("customer"), {"a": F.expr("c_acctbal > 0"), "b": F.expr("c_nationkey > 12")}, [("a", "b")])
 
 
+@query(f"SELECT p_partkey FROM ({_RECORD}) WHERE coalesce(len(inclusion), 0) > 0 OR coalesce(len(exclusion), 0) > 0 OR coalesce(n_studies, 0) <> 0 OR {_SAID}")
+def any_field_filled(t, spark):
+    flags = [E.slim_filled(F.col("inclusion"), "list"), E.slim_filled(F.col("exclusion"), "list"), E.explored(F.col("n_studies"), "number"), P.has_boolean_queries(F.col("queries"))]
+    return P.any_filled(_records(t("part")), flags).select("p_partkey")
+
+
+@query(f"SELECT p_partkey, {_SAID} AS has_queries, coalesce(len(databases), 0) > 0 OR {_SAID} AS has_databases FROM ({_RECORD})")
+def query_and_database_flags(t, spark):
+    return _records(t("part")).select("p_partkey", P.has_boolean_queries(F.col("queries")).alias("has_queries"), P.has_database_info(F.col("databases"), F.col("queries")).alias("has_databases"))
+
+
+@query("""SELECT p_partkey, p_size % 3 = 0 OR (p_size % 4 = 1) OR p_size % 5 = 2 AS has_pdf FROM part""")
+def has_pdf(t, spark):
+    """Addresses of files in the first, the best or any other location; blank ones don't count."""
+    size, none = F.col("p_size"), F.lit(None).cast("string")
+    at = lambda c: F.struct(c.alias("pdf_url"))
+    url = lambda cond: F.when(cond, "https://x/a.pdf").when(size % 2 == 0, " ").otherwise(none)
+    others = F.array(at(none), at(url(size % 5 == 2)))
+    return t("part").select("p_partkey", T.has_pdf(at(url(size % 3 == 0)), at(url(size % 4 == 1)), others).alias("has_pdf"))
+
+
+@query("""SELECT count(*) FILTER (p_size % 3 <> 0) AS no_result, count(*) FILTER (p_size % 3 <> 0 AND p_size % 4 > 0) AS expected, count(*) FILTER (p_size % 3 <> 0 AND p_size % 4 = 0) AS not_expected FROM part""")
+def without_result(t, spark):
+    size = F.col("p_size")
+    results = F.when(size % 3 == 0, F.array(F.lit(None).cast("string"), F.lit("q"))).when(size % 3 == 1, F.array(F.lit(" ")))
+    return A.without_result(t("part"), results, F.when(size % 4 == 0, F.when(size % 8 == 0, 0)).otherwise(size % 4))
+
+
+@query("""SELECT count(*) AS n_rows, count(*) FILTER (p_size % 2 = 0 OR p_size % 5 = 0) AS n_changed, count(*) FILTER (p_size % 2 = 0) AS changed_p_name, count(*) FILTER (p_size % 5 = 0) AS changed_p_brand FROM part""")
+def changed_rows(t, spark):
+    """Rows and fields that a rewrite changed; a value that is lost is a change."""
+    before = t("part").select("p_partkey", "p_name", "p_brand", "p_size")
+    after = before.withColumns({"p_name": F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")), "p_brand": F.when(F.col("p_size") % 5 != 0, F.col("p_brand"))})
+    return A.changed(before, after, "p_partkey", ["p_name", "p_brand"])
+
+
+@query("""SELECT c_custkey, coalesce(trim(u) = '', true) OR coalesce(e <> '', false) OR coalesce(n = 0, false) AS probe, coalesce(trim(u) = '', true) OR coalesce(e <> '', false) AS only_errors
+FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'u' END AS u, CASE WHEN c_custkey % 7 = 0 THEN 'http_500' END AS e, CASE WHEN c_custkey % 3 = 0 THEN 0 WHEN c_custkey % 3 = 1 THEN 5 END AS n FROM customer)""")
+def probe_decision(t, spark):
+    k = F.col("c_custkey")
+    u, e, n = F.when(k % 5 == 0, None).when(k % 5 == 1, " ").otherwise("u"), F.when(k % 7 == 0, "http_500"), F.when(k % 3 == 0, 0).when(k % 3 == 1, 5)
+    return t("customer").select("c_custkey", remote.should_probe(u, n, e).alias("probe"), remote.should_probe(u, n, e, only_errors=True).alias("only_errors"))
+
+
 @query("""WITH s AS (SELECT o_orderstatus, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS r, count(*) OVER (PARTITION BY o_orderstatus) AS c FROM orders)
 SELECT o_orderstatus, count(*) AS n, round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max, max(CASE WHEN r = round_even((c - 1) * 0.25, 0) + 1 THEN v END) AS p25, max(CASE WHEN r = round_even((c - 1) * 0.5, 0) + 1 THEN v END) AS p50, max(CASE WHEN r = round_even((c - 1) * 0.75, 0) + 1 THEN v END) AS p75 FROM s GROUP BY 1""")
 def population_summary(t, spark):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aggregate as A
+from ..operators import align as L
 from ..operators import dedupe as D
 from ..operators import filters as P
 from ..operators import joins as J
@@ -44,37 +46,46 @@ def first_matched_phrase(t, spark):
     return t("documents").select("doc_id", T.first_phrase(F.lower("text"), INCLUDE).alias("phrase"))
 
 
-@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def _digests(docs):
+    """Ids with digests of text and title (the first line), so that no text shuffles."""
+    title = F.get(F.split("text", "\n"), F.lit(0))
+    digest = lambda c: F.when(c == "", "").otherwise(D.digest(c))
+    return docs.select("doc_id", "n_chars", "source", digest(F.col("text")).alias("text"), digest(title).alias("title"))
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents WHERE coalesce(text, '') <> '' GROUP BY text UNION ALL SELECT doc_id FROM documents WHERE coalesce(text, '') = ''")
 def dedupe_first_wins(t, spark):
-    return D.first_wins(t("documents").select("doc_id", "text"), F.col("text"), F.col("doc_id")).select("doc_id")
+    return D.first_wins(_digests(t("documents")), F.col("text"), F.col("doc_id")).select("doc_id")
 
 
-@query("SELECT max(doc_id) AS doc_id FROM documents GROUP BY text")
+@query("SELECT max(doc_id) AS doc_id FROM documents WHERE coalesce(text, '') <> '' GROUP BY text")
 def dedupe_last_wins(t, spark):
-    return D.last_wins(t("documents").select("doc_id", "text"), F.col("text"), F.col("doc_id")).select("doc_id")
+    return D.last_wins(_digests(t("documents")), F.col("text"), F.col("doc_id")).select("doc_id")
 
 
-@query("SELECT count(*) AS n_rows, count(*) - count(DISTINCT text) AS n_duplicates, 0::BIGINT AS n_no_key FROM documents")
+@query("SELECT count(*) AS n_rows, count(*) FILTER (text <> '') - count(DISTINCT text) FILTER (text <> '') AS n_duplicates, count(*) FILTER (coalesce(text, '') = '') AS n_no_key FROM documents")
 def dedupe_counts(t, spark):
-    return D.duplicate_counts(t("documents"), F.col("text"))
+    return D.duplicate_counts(_digests(t("documents")), F.col("text"))
 
 
 @query("""
-WITH a AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents),
-b AS (SELECT *, row_number() OVER (PARTITION BY substr(text, 1, 40) ORDER BY doc_id) AS r2 FROM a WHERE r = 1),
-c AS (SELECT *, row_number() OVER (PARTITION BY n_chars * 100 + length(source) ORDER BY doc_id) AS r3 FROM b WHERE r2 = 1)
-SELECT doc_id FROM c WHERE r3 = 1""")
+WITH t AS (SELECT *, string_split(text, chr(10))[1] AS title FROM documents),
+a AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM t),
+b AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY doc_id) AS r2 FROM a WHERE r = 1 OR coalesce(text, '') = ''),
+c AS (SELECT *, row_number() OVER (PARTITION BY n_chars * 100 + length(source) ORDER BY doc_id) AS r3 FROM b WHERE r2 = 1 OR coalesce(title, '') = '')
+SELECT doc_id FROM c WHERE r3 = 1 OR n_chars * 100 + length(source) IS NULL""")
 def dedupe_cascade(t, spark):
-    keys = [F.col("text"), F.substring("text", 1, 40), F.col("n_chars") * 100 + F.length("source")]
-    return D.cascade(t("documents"), keys, F.col("doc_id")).select("doc_id")
+    """By text, then by title (the first line), then by a number."""
+    keys = [F.col("text"), F.col("title"), F.col("n_chars") * 100 + F.length("source")]
+    return D.cascade(_digests(t("documents")), keys, F.col("doc_id")).select("doc_id")
 
 
 @query()
 def dedupe_greedy(t, spark):
-    """Two keys that chain rows; order decides. Tested against a sequential scan."""
+    """Two keys that chain rows, text and title (the first line); order decides. Tested against a sequential scan."""
     from ..operators.graph import components
 
-    docs = t("documents").select("doc_id", F.sha2("text", 256).alias("a"), F.concat("source", F.lit("-"), "n_chars").alias("b"), F.substring("text", 1, 30).alias("title"))
+    docs = _digests(t("documents")).select("doc_id", F.col("text").alias("a"), F.col("title").alias("b"), F.col("source").alias("title"))
     return D.greedy(docs, "a", "b", "title", "doc_id", components).select("doc_id")
 
 
@@ -94,14 +105,14 @@ def repeated_token_flag(t, spark):
 _ASCII = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, {_ASCII} AS plain FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {_ASCII} AS plain FROM documents")
 def ascii_normalise(t, spark):
-    return t("documents").where("lang = 'en'").select("doc_id", T.ascii_words(F.col("text")).alias("plain"))
+    return t("documents").select("doc_id", T.ascii_words(F.col("text")).alias("plain"))
 
 
-@query(f"SELECT doc_id, list_filter(string_split({_ASCII}, ' '), lambda w: length(w) >= 5 AND w NOT IN ({', '.join(repr(w) for w in T.TITLE_STOPWORDS)}))[1:10] AS tokens FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, list_filter(string_split({_ASCII}, ' '), lambda w: length(w) >= 5 AND w NOT IN ({', '.join(repr(w) for w in T.TITLE_STOPWORDS)}))[1:10] AS tokens FROM documents")
 def title_tokens(t, spark):
-    return t("documents").where("lang = 'en'").select("doc_id", T.title_tokens(F.col("text")).alias("tokens"))
+    return t("documents").select("doc_id", T.title_tokens(F.col("text")).alias("tokens"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '([\\p{L}\\p{N}_])-\\s*\\n\\s*([\\p{L}\\p{N}_])', '\\1\\2', 'g'), '\\s+', ' ', 'g')) AS clean FROM documents")
@@ -131,36 +142,44 @@ def url_candidates(t, spark):
 
 
 @query("""
-WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:50] AS words FROM documents)
-SELECT doc_id, regexp_replace(array_to_string(words, ' '), '^(?i:Abstract)\\s+', '') AS text FROM w""")
+WITH w AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, regexp_replace(t, '^(?i:Abstract)\\s+', '') AS text FROM w""")
 def inverted_index_roundtrip(t, spark):
-    """An index of the first fifty words, and the text back from it."""
-    words = F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 50)
-    docs = t("documents").select("doc_id", words.alias("words"))
-    index = F.map_from_entries(F.transform(F.array_distinct("words"), lambda w: F.struct(w, F.filter(F.transform("words", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()))))
-    return docs.select("doc_id", T.text_of_inverted_index(index).alias("text"))
+    """An index of all words of a text, and the text back from it."""
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    return t("documents").select("doc_id", T.text_of_inverted_index(T.inverted_index(words)).alias("text"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents WHERE length(text) < 2000),
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
 f AS (SELECT doc_id, w, min(i) AS i FROM w WHERE w <> '' GROUP BY doc_id, w) SELECT doc_id, list(w ORDER BY i) AS tokens FROM f GROUP BY doc_id""")
 def ordered_distinct_tokens(t, spark):
-    """Tokens of short texts (a size that the operator's users set) in order of first occurrence."""
-    docs = t("documents").where(F.length("text") < 2000).select("doc_id", T.ordered_distinct(F.split("text", " ")).alias("tokens"))
+    """Tokens of whole texts in order of first occurrence."""
+    docs = t("documents").select("doc_id", T.ordered_distinct(F.split("text", " ")).alias("tokens"))
     return docs.where("size(tokens) > 0")
 
 
-@query("""
-SELECT d.doc_id, b.item_id FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) d
-JOIN (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM benchmark) b ON contains(d.t, b.q)""")
+_HELD = """SELECT DISTINCT d.doc_id, b.item_id FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) d
+JOIN (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM (%s)) b ON contains(d.t, b.q)"""
+_PIECES = """SELECT item_id * 10 + k AS item_id, array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[3:2 + k], ' ') AS text
+FROM benchmark, (VALUES (1), (2), (3), (4), (5)) v(k)"""
+
+
+def _passages(t):
+    return t("documents").select("doc_id", T.collapse(F.col("text")).alias("text")), t("benchmark").select("item_id", T.collapse(F.col("text")).alias("passage"))
+
+
+@query(_HELD % "SELECT item_id, text FROM benchmark")
 def quote_alignment(t, spark):
-    """Passages held verbatim. They meet documents on their first four words, which are equal where the passage is."""
-    docs = t("documents").select("doc_id", T.collapse(F.col("text")).alias("d"))
-    items = t("benchmark").select("item_id", T.collapse(F.col("text")).alias("q")).withColumn("key", F.array_join(F.slice(F.split("q", " "), 2, 4), " "))
-    docs = docs.withColumn("words", F.split("d", " "))
-    words = F.col("words")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 3)), lambda i: F.array_join(F.slice(words, i, 4), " ")))
-    keyed = docs.select("doc_id", F.explode(grams).alias("key")).join(items.select("item_id", "key", "q"), "key")
-    return keyed.join(docs.drop("words"), "doc_id").where(F.contains("d", F.col("q"))).select("doc_id", "item_id").distinct()
+    """Passages held verbatim."""
+    return L.held_passages(*_passages(t))
+
+
+@query(_HELD % _PIECES)
+def short_quote_alignment(t, spark):
+    """The same for passages of one to five words: the items' third to seventh words."""
+    docs, items = _passages(t)
+    short = items.withColumn("k", F.explode(F.array(*map(F.lit, range(1, 6)))))
+    return L.held_passages(docs, short.select((F.col("item_id") * 10 + F.col("k")).alias("item_id"), F.array_join(F.slice(F.split("passage", " "), F.lit(3), F.col("k")), " ").alias("passage")))
 
 
 @query("SELECT d.doc_id, coalesce(l.quality::VARCHAR, d.lang) AS lang, CASE WHEN l.doc_id IS NULL THEN NULL ELSE l.toxic END AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -276,3 +295,45 @@ FROM (SELECT doc_id, string_split(text, chr(10))[1] AS x FROM documents)""")
 def title_keys(t, spark):
     x = F.get(F.split("text", "\n"), F.lit(0))
     return t("documents").select("doc_id", T.title_key_compact(x).alias("compact"), T.title_key_plain(x).alias("plain"), T.title_key_spaced(x).alias("spaced"))
+
+
+@query("SELECT bin, round(low, 6) AS low, round(l + (bin + 1) * w, 6) AS high, n FROM (WITH q AS (SELECT quantile_cont(n_chars, 0.99) AS h, min(n_chars)::DOUBLE AS l FROM documents) SELECT bin, l + bin * w AS low, l, w, count(*) AS n FROM (SELECT l, (h - l) / 20 AS w, least(19, floor((n_chars - l) / ((h - l) / 20)))::BIGINT AS bin FROM documents, q WHERE n_chars <= h) GROUP BY bin, l, w)")
+def histogram_clipped(t, spark):
+    """Equal bins up to the 99th percentile."""
+    return A.histogram_clipped(t("documents"), F.col("n_chars"), 20).select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+'))::INTEGER AS token_count FROM documents")
+def token_lengths(t, spark):
+    """Token counts by a pluggable tokenizer, here words."""
+    return P.token_lengths(t("documents").select("doc_id", "text"), "text", _word_counter).select("doc_id", "token_count")
+
+
+def _word_counter():
+    return lambda texts: [len(x.encode().split()) for x in texts]
+
+
+@query("SELECT doc_id, n_chars FROM documents")
+def length_ordered(t, spark):
+    """Rows in ranges of ascending length, for batches of equal length; order is checked in a unit test."""
+    return P.length_ordered(t("documents").select("doc_id", "n_chars"), F.col("n_chars"))
+
+
+@query("""SELECT doc_id, row_number() OVER w AS r, lag(n_chars) OVER w AS before, sum(n_chars) OVER (PARTITION BY source, lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+FROM documents WINDOW w AS (PARTITION BY source, lang ORDER BY doc_id)""")
+def window_functions(t, spark):
+    """Row numbers, neighbours and running sums within groups."""
+    w = Window.partitionBy("source", "lang").orderBy("doc_id")
+    upto = F.sum("n_chars").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
+    return t("documents").select("doc_id", F.row_number().over(w).alias("r"), F.lag("n_chars").over(w).alias("before"), upto.alias("upto"))
+
+
+@query("SELECT page_id, coalesce(trim(url), '') <> '' AS ok FROM pages")
+def url_ok(t, spark):
+    return t("pages").select("page_id", P.url_ok(F.col("url")).alias("ok"))
+
+
+@query("SELECT source AS field, lang AS subfield, count(*) AS n FROM documents GROUP BY 1, 2")
+def field_projection(t, spark):
+    """Two columns of a record, counted."""
+    return t("documents").select(F.col("source").alias("field"), F.col("lang").alias("subfield")).groupBy("field", "subfield").agg(F.count(F.lit(1)).alias("n"))

@@ -128,7 +128,10 @@ def test_remote(spark):
     pages = {"*": {"results": [{"id": "1"}, {"id": "2"}], "next_cursor": "c"}, "c": {"results": [{"id": "3"}], "next_cursor": None}}
     assert [r["id"] for r in remote.paged(lambda q: pages[q["cursor"]], {}, 2)] == ["1", "2"]
     tries = []
-    assert remote.with_retries(lambda q: tries.append(1) or {"status": 503 if len(tries) < 3 else 200}, {})["status"] == 200
+    slept = []
+    policy = remote.Policy(jitter=lambda: 0.5, sleep=slept.append)
+    assert remote.with_retries(lambda q: tries.append(1) or {"status": 503 if len(tries) < 3 else 200}, {}, policy)["status"] == 200
+    assert slept == [2.5, 4.5]
     df = spark.createDataFrame([("r", ["https://x/?search=a", "", "https://x/?search=bb"])], "id string, urls array<string>")
 
     def transport(q):
@@ -138,7 +141,7 @@ def test_remote(spark):
     assert got["values"] == [1, None, 2] and got["errors"] == [None, "blank_url", None]
     keys = spark.createDataFrame([("k1",), ("k2",), (None,)], "k string")
     out = remote.lookup(keys, "k", lambda q: {"results": [{"k": x, "v": 1} for x in q["keys"] if x != "k2"]}, "k string, v int")
-    assert [(r.k, r.v) for r in out.collect()] == [("k1", 1)]
+    assert {(r.k, r.v, r.error) for r in out.collect()} == {("k1", 1, None), ("k2", None, "not_found")}
 
 
 def test_streaming_resumes(spark, tmp_path):
@@ -202,3 +205,197 @@ def test_partial_ratio_tries_every_window(a, b, cutoff):
     want = max(difflib.SequenceMatcher(None, b[s : s + n], a, autojunk=False).ratio() * 100 for s in range(len(b) - n + 1))
     got = align.partial_ratio(a, b, cutoff)
     assert got == pytest.approx(want) if want >= cutoff else got < cutoff
+
+
+QUICK = remote.Policy(attempts=2, base=0.0, jitter=lambda: 0.0)
+
+
+def test_remote_failures_are_told(spark):
+    pages = {"*": {"results": [{"id": "a"}], "next_cursor": "2"}, "2": {"status": 500}}
+    with pytest.raises(remote.RequestFailed):
+        list(remote.paged(lambda q: pages[q["cursor"]], {}, policy=QUICK))
+    df = spark.createDataFrame([("r", ["https://x/?search=a"])], "id string, urls array<string>")
+    got = remote.annotate(df, "id", "urls", lambda q: pages[q["cursor"]], "ids", QUICK).first()
+    assert got["values"] == [None] and got["errors"] == ["http_500"]
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(6)], "k string").coalesce(1)
+    broken = lambda q: {"status": 503} if "k3" in q["keys"] else {"results": [{"k": x, "v": int(x[1])} for x in q["keys"] if x != "k1"]}
+    out = remote.lookup(keys, "k", broken, "k string, v int", 1, QUICK)
+    rows = {r.k: (r.v, r.error) for r in out.collect()}
+    assert rows == {"k0": (0, None), "k1": (None, "not_found"), "k2": (2, None), "k3": (None, "http_503"), "k4": (4, None), "k5": (5, None)}
+    asked = lambda q: {"results": [{"k": x, "v": 9} for x in q["keys"]]}
+    again = {r.k: r.v for r in remote.lookup(keys, "k", asked, "k string, v int", 2, QUICK, known=out).collect()}
+    assert again == {"k0": 0, "k1": None, "k2": 2, "k3": 9, "k4": 4, "k5": 5}
+
+
+def test_limiter_spaces_requests():
+    now, sent = [0.0], []
+
+    def sleep(seconds):
+        now[0] += seconds
+
+    policy = remote.Policy(spacing=0.35, sleep=sleep, clock=lambda: now[0], jitter=lambda: 0.0)
+    limiter = remote.Limiter(policy)
+
+    def transport(q):
+        sent.append(now[0])
+        now[0] += 0.1 if len(sent) % 2 else 1.0
+        return {"status": 429, "retry_after": 5} if len(sent) == 3 else {"count": 1}
+
+    for _ in range(5):
+        remote.fetched(transport, {}, policy, limiter)
+    gaps = [b - a for a, b in zip(sent, sent[1:])]
+    assert len(sent) == 6 and all(g >= 0.35 - 1e-9 for g in gaps) and gaps[2] >= 5
+
+
+def test_probe_keys_and_rotation(spark):
+    says = {"u1": {"status": 200}, "u2": {"status": 403, "error": "forbidden", "message": "no"}, "u3": {"status": 500, "text": "x" * 900}}
+    urls = spark.createDataFrame([("u1",), ("u2",), ("u3",), ("boom",), (" ",), (None,)], "url string")
+    got = {r.url: (r.status, r.error, r.message) for r in remote.probe(urls, lambda q: says[q["url"]]).collect()}
+    assert got["u1"] == (200, None, None) and got["u2"] == (403, "forbidden", "no") and got["u3"] == (500, "http_500", "x" * 500)
+    assert got["boom"][:2] == (0, "request_exception") and got[" "][1] == got[None][1] == "empty_url"
+    assert remote.key_list({"KEYS": " a, b,,a ", "KEY_2": "c", "KEY_1": "b", "OTHER": "d"}, "KEYS") == ["a", "b", "c"]
+    seen = []
+    send = remote.rotated(lambda q: seen.append(q.get("key")) or {}, ["a", "b"])
+    for _ in range(3):
+        send({})
+    assert seen == ["a", "b", "a"] and remote.rotated(lambda q: q, [])({"x": 1}) == {"x": 1}
+
+
+def test_download_manifest_and_resume(spark, tmp_path):
+    files = {"ok": {"content": b"%PDF-1.7 x"}, "html": {"content": b"<html>"}, "gone": {"status": 404}}
+    rows = [("a", ["gone", "html", "ok", "never"]), ("b", ["html"]), ("c", []), ("d", None), ("e", ["gone", " "]), ("f", ["boom"])]
+    df = spark.createDataFrame(rows, "id string, urls array<string>")
+    out = remote.download(df, "id", "urls", lambda q: files[q["url"]], QUICK)
+    got = {r.id: (r.status, r.url, r.tried) for r in out.collect()}
+    assert got == {"a": ("downloaded", "ok", 3), "b": ("not_pdf", "html", 1), "c": ("no_url", None, 0), "d": ("no_url", None, 0), "e": ("http_404", "gone", 1), "f": ("error", "boom", 1)}
+    path, schema = str(tmp_path / "manifest"), "id string, status string, ts int"
+    assert io.manifest(spark, path, "id", schema).count() == 0
+    for ts, (i, status) in enumerate([("a", "downloaded"), ("a", "http_500"), ("b", "not_pdf"), ("b", "http_404")]):
+        io.append_manifest(spark.createDataFrame([(i, status, ts)], schema), path)
+    best = io.manifest(spark, path, "id", schema)
+    assert {(r.id, r.status) for r in best.collect()} == {("a", "downloaded"), ("b", "http_404")}
+    todo = P.resume(df, best.where("status = 'downloaded'"), "id")
+    assert {r.id for r in todo.collect()} == set("bcdef")
+
+
+def test_references_summaries_and_replacement(spark, tmp_path):
+    p = lambda n: str(tmp_path / n)
+    (tmp_path / "a.json").write_text('[{"id": 1, "doi": "d1"}, {"id": null, "doi": "x"}]')
+    (tmp_path / "b.jsonl").write_text('{"id": "2", "doi": "d2"}\n\nnot json\n{"id": "3"}\n')
+    (tmp_path / "c.json").write_text('{"data": [{"other_id": "4", "doi": "d4"}, {"id": "5", "other_id": "6", "doi": "d5"}]}')
+    spark.createDataFrame([("t", "d6"), (None, "d7")], "title string, doi string").write.parquet(p("d"))
+    spark.createDataFrame([(8, "d8")], "reg int, doi string").write.parquet(p("e"))
+    lists = [("array", p("a.json"), "s1"), ("lines", p("b.jsonl"), "s2"), ("envelope", p("c.json"), "s3"), ("titles", p("d"), "s4"), ("registry", p("e"), "s5"), ("titles", p("missing"), "s6")]
+    got = {tuple(r) for r in io.tagged_references(spark, lists, {"registry_id": "reg"}).collect()}
+    assert got == {("1", "d1", "s1"), ("2", "d2", "s2"), ("4", "d4", "s3"), ("5", "d5", "s3"), ("t", "d6", "s4"), ("8", "d8", "s5")}
+    for value in (1, 2):  # the second one replaces the first
+        io.write_summary(spark.createDataFrame([(value, None)], "n int, m string"), p("summary"))
+        assert json.loads("".join(r.value for r in spark.read.text(p("summary"), wholetext=True).collect())) == [{"n": value, "m": None}]
+    assert not [f for f in tmp_path.iterdir() if ".tmp" in f.name]
+    io.write_sample(spark.range(50), "id", 7, p("sample"))
+    first = io.csv(spark, p("sample")).collect()
+    io.write_sample(spark.range(50).repartition(5), "id", 7, p("sample"))
+    assert len(first) == 7 and first == io.csv(spark, p("sample")).collect()
+    io.write_lines(spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "w string"), "w", p("ids"))
+    assert sorted(r.value for r in spark.read.text(p("ids")).collect()) == ["a", "b"]
+    io.write_shards(spark.range(25).coalesce(1), p("shards"), 10)
+    assert len(list((tmp_path / "shards").glob("*.json"))) == 3
+    files = spark.createDataFrame([("file:/in/x/1.pdf",), ("file:/in/2.pdf",)], "file_path string")
+    done = spark.createDataFrame([("file:/out/x/1.md",)], "file_path string")
+    assert [tuple(r) for r in io.to_do(files, done, "file:/in", "file:/out", ".md").collect()] == [("file:/in/2.pdf", "file:/out/2.md")]
+    with pytest.raises(Exception):
+        io.jsonl_strict(spark, p("b.jsonl"), "id string").collect()
+    with pytest.raises(ValueError):
+        io.require(done, "nope")
+    assert io.conform(done, __import__("pyspark").sql.types.StructType.fromDDL("z int, file_path string")).columns == ["z", "file_path"]
+
+
+def test_held_passages_of_any_length(spark, monkeypatch):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text), (2, "un" + text + "s"), (3, "other words"), (4, None), (5, "")], "doc_id long, text string")
+    pieces = ["three", "two three four", "two three four five", "two three four five six", "ne two", "", "o", text, "zzz", None]
+    items = spark.createDataFrame(list(enumerate(pieces)), "item_id int, passage string")
+    want = {(d, i) for d, t in ((1, text), (2, "un" + text + "s"), (3, "other words"), (5, "")) for i, q in enumerate(pieces) if q is not None and q in t}
+    for n in (100, 2):
+        monkeypatch.setattr(align, "SENT_PASSAGES", n)
+        assert {(r.doc_id, r.item_id) for r in align.held_passages(docs, items).collect()} == want
+    assert align.held_passages(docs, items.limit(0)).count() == 0
+
+
+def test_partial_ratio_after_many_decoys():
+    quote = "the quick brown fox jumps over the lazy dog near the river"
+    near = quote.replace("lazy", "lary")
+    decoys = " ".join(f"the quick brown cat {i}" for i in range(250))
+    assert align.partial_ratio(quote, decoys + " " + near) == pytest.approx(align.partial_ratio(quote, near)) and align.partial_ratio(quote, near) > 97
+
+
+def test_verify_fields_reads_texts_once(spark):
+    ev = "struct<value:string,verbatim_source:string>"
+    rows = [("W1", ("a", "held words here"), ("b", "nowhere at all, not one bit")), ("W2", ("a", "held words here"), (None, None)), ("W3", ("a", "text"), ("b", "text"))]
+    df = spark.createDataFrame(rows, f"doc_id string, x {ev}, y {ev}")
+    texts = spark.createDataFrame([("W1", "Some held words here."), ("W2", "other")], "doc_id string, text string")
+    got = {r.doc_id: (r.x.value, r.y.value) for r in align.verify_fields(df, "doc_id", ["x", "y"], texts).collect()}
+    assert got == {"W1": ("a", None), "W2": (None, None), "W3": (None, None)}
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.integers(-50, 50))), max_size=60))
+def test_percentiles_against_lists(spark, rows):
+    import math
+
+    import numpy as np
+
+    df = spark.createDataFrame(rows, "g int, v int")
+    points = (0.0, 0.25, 0.5, 0.9, 1.0)
+    for g in {g for g, v in rows if v is not None}:
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        n = len(values)
+        want = {
+            "linear": [float(np.percentile(values, p * 100)) for p in points],
+            "nearest": [values[max(1, math.ceil(round(n * p, 9))) - 1] for p in points],
+            "rounded": [values[round((n - 1) * p)] for p in points],
+        }
+        for kind, w in want.items():
+            got = next(r for r in A.percentiles(df, F.col("v"), points, kind, ["g"]).collect() if r.g == g)
+            assert [got[f"p{round(p * 100)}"] for p in points] == pytest.approx(w)
+        break
+
+
+def test_filters_around_models(spark):
+    texts = ["short", "x" * 200, "<p>" + "word " * 60 + "</p>", "<b></b>" * 40, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    asked = []
+
+    def model(batch):
+        return [("__label__en", 0.9) if "word" in t else ("__label__fr", 0.99) for t in batch]
+
+    got = {r.id: r.is_english for r in P.language_filter(df, "text", model).collect()}
+    assert got == {0: False, 1: False, 2: True, 3: True, 4: False} and not asked
+    counts = P.token_lengths(df, "text", lambda: lambda ts: [len(t.split()) for t in ts])
+    assert [r.token_count for r in counts.orderBy("id").collect()] == [1, 1, 61, 1, 0]
+    long = P.length_ordered(spark.range(500).withColumn("n", (F.col("id") * 7919) % 500), F.col("n"))
+    parts = [[r.n for r in p] for p in long.rdd.glom().collect() if p]
+    assert all(p == sorted(p) for p in parts) and sorted(x for p in parts for x in p) == list(range(500))
+    ordered = sorted(parts, key=lambda p: p[0])
+    assert all(a[-1] < b[0] for a, b in zip(ordered, ordered[1:]))
+    q = spark.createDataFrame([(1, [([" ", None], None)], None), (2, [(["q"], [" "])], [" "]), (3, None, ["db"])], "id int, q array<struct<boolean_query_string:array<string>,database_source:array<string>>>, d array<string>")
+    flags = {r.id: (r.a, r.b) for r in q.select("id", P.has_boolean_queries(F.col("q"), True).alias("a"), P.has_database_info(F.col("d"), F.col("q"), True).alias("b")).collect()}
+    assert flags == {1: (False, False), 2: (True, False), 3: (False, True)}
+
+
+def test_no_local_folder_for_a_cluster():
+    from types import SimpleNamespace
+
+    from corpusmill.operators.graph import checkpointed
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://there", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        checkpointed(SimpleNamespace(sparkSession=session))
+
+
+def test_inverted_index(spark):
+    from corpusmill.functions import text as T
+
+    df = spark.createDataFrame([(1, ["a", "b", None, "a"]), (2, []), (3, None)], "id int, w array<string>")
+    got = {r.id: r.x for r in df.select("id", T.inverted_index("w").alias("x")).collect()}
+    assert got == {1: {"a": [0, 3], "b": [1]}, 2: {}, 3: None}
