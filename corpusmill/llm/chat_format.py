@@ -25,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,11 +64,21 @@ def _turn(role: str, text: str) -> str:
     return f"{OPEN}{escape_role(role)}|>\n{escape(text)}{CLOSE}\n"
 
 
-_known_turn = lru_cache(REMEMBERED)(_turn)
+class _Remembered(dict):
+    """Turns as rendered, up to ``REMEMBERED`` at a time."""
+
+    def __missing__(self, turn: tuple[str, str]) -> str:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[turn] = out = _turn(*turn)
+        return out
+
+
+_KNOWN = _Remembered()
 
 
 def turn_template(turns: Turns) -> str:
-    return "".join([(_known_turn if len(text) <= SHORT else _turn)(role, text) for role, text in turns])
+    return "".join([_KNOWN[turn] if len(turn[1]) <= SHORT else _turn(*turn) for turn in turns])
 
 
 def parse_turn(segment: str) -> tuple[str, str]:
