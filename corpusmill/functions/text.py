@@ -290,8 +290,17 @@ def shard_of(c: Column) -> Column:
 
 
 def repeats_token(c: Column, times: int = 4) -> Column:
-    """Whether a token stands ``times`` times in a row."""
-    return F.rlike(c, F.lit(rf"(?i)\b(\w+)(?:\W+\1\b){{{times - 1}}}"))
+    """Whether a token ``[A-Za-z0-9_]+`` stands ``times`` times in a row, whatever stands between; false for null.
+
+    Bounds are spelt out: before Java 19 ``\\b`` sees none between a letter of ``\\w`` and an accented one.
+    """
+    token = "[a-z0-9_]"
+    return F.coalesce(F.rlike(c, F.lit(rf"(?i)(?<!{token})({token}++)(?:[^a-z0-9_]++\1(?!{token})){{{times - 1}}}")), F.lit(False))
+
+
+def lower_simple(c: Column) -> Column:
+    """Lower case of one character for one, like DuckDB's: only the dotted capital I becomes two in Spark."""
+    return F.lower(F.replace(c, F.lit("\u0130"), F.lit("i")))
 
 
 def is_placeholder(c: Column) -> Column:

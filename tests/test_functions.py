@@ -151,3 +151,19 @@ def test_records(spark):
     assert one(spark, R.record_id(F.lit(""), F.lit(None).cast("string"), F.lit("x"))) == "x"
     x = one(spark, R.model_input(F.lit(None).cast("array<string>"), F.array(F.lit("k"))))
     assert (x.expected_len, x.keywords_only, len(x["items"])) == (1, True, 1)
+
+
+def test_repeated_token_flag_like_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from corpusmill.plans import text_queries  # noqa: F401  registers the queries
+    from corpusmill.plans.registry import ORACLES, QUERIES
+
+    texts = ["éa a a a", "a é a ß a, aö", "aéa ab a a", "a a a\nab a", "B b_ b b", "b-B\n\nb;b", "\u0130b ib Ib \u0130B", "\u212a k K k", "_ _ _ _", None, "", "é é é é"]
+    rows = [*enumerate(texts), (20, "a b"), (20, "a b"), (21, "a x"), (21, "a y"), (21, "a z"), (21, "a w"), (22, None), (22, "c c c c"), (23, None), (23, None), (None, "a a a a"), (None, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    expected = dict(db.execute(ORACLES["repeated_token_flag"]).fetchall())
+    got = [tuple(r) for r in QUERIES["repeated_token_flag"](spark, str(tmp_path)).collect()]
+    assert dict(got) == expected and len(got) == len(expected)
+    assert expected[0] and expected[1] and not expected[2] and expected[21] and not expected[20]
