@@ -19,8 +19,9 @@ hashes; a segment that is counted k times counts each of its windows k times. So
 Hashes are 128 bits together (anchor and segment, or anchor and window), independent of the
 position. All counts are combined on the map side, and groups are counts and bit masks, so neither
 a passage that a third of all documents share nor an anchor with as many different surroundings
-is one task's. Texts are read three times, the second time only those with segments to write out;
-the segments are written once, to the shared folder.
+is one task's. Texts are read four times: for their segments, those with segments to write out once
+more, and at the end those without and those with repeated windows apart; the segments are written
+once, to the shared folder.
 
 Edge cases: a null text has no words; documents shorter than a window lose nothing;
 repeated rows repeat each other's windows and lose them all, also if they have the same
@@ -148,12 +149,14 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["pair"])
 
 
-def _flagged(may: BitFilter):
-    """Adds ``maybe``: whether the row may have repeated windows."""
+def _maybe(may: BitFilter):
+    """Rows that may have repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may(batch["row"].to_numpy()))], [*batch.schema.names, "maybe"])
+            for lo in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(lo, CHUNK)
+                yield part.filter(pa.array(may(part["row"].to_numpy())))
 
     return run
 
@@ -177,22 +180,33 @@ def _starts(marks) -> np.ndarray:
     return np.unique(first[at] + offset)
 
 
-def _cut_out(window: int):
+def _cut_out(window: int, cut_elsewhere: BitFilter | None = None):
+    """Results of texts with their ``marks``, or, without such a column, of those that have none.
+
+    The latter are the rows that the filter doesn't let through; they come straight from the table, so
+    that no task of this operator feeds one Python worker from another.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, removed, texts, spans = [], [], [], []
-            for text, marks in zip(utf8(batch["text"]), batch["marks"].to_pylist()):
-                words = split(text)
-                keep = kept_mask(len(words), _starts(marks), window)
-                edges = np.flatnonzero(np.diff(np.concatenate([[True], keep, [True]]).astype(np.int8)))
-                n_words.append(len(words))
-                removed.append(int((~keep).sum()))
-                texts.append(b" ".join(words if keep.all() else [w for w, k in zip(words, keep.tolist()) if k]))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["doc_id", "n_words", "n_removed", "kept", "removed"],
-            )
+            for lo in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(lo, CHUNK)
+                if cut_elsewhere is not None:
+                    part = part.filter(pa.array(~cut_elsewhere(part["row"].to_numpy())))
+                n_words, removed, texts, spans = [], [], [], []
+                marked = part["marks"].to_pylist() if "marks" in part.schema.names else [None] * part.num_rows
+                for text, marks in zip(utf8(part["text"]), marked):
+                    words = split(text)
+                    keep = kept_mask(len(words), _starts(marks), window)
+                    edges = np.flatnonzero(np.diff(np.concatenate([[True], keep, [True]]).astype(np.int8)))
+                    n_words.append(len(words))
+                    removed.append(int((~keep).sum()))
+                    texts.append(b" ".join(words if keep.all() else [w for w, k in zip(words, keep.tolist()) if k]))
+                    spans.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                    ["doc_id", "n_words", "n_removed", "kept", "removed"],
+                )
 
     return run
 
@@ -233,13 +247,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hits = first.where("times is not null").unionByName(rest.select(*first.columns))
     marks = cut(hits.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "mask")).alias("marks")))
     may = BitFilter.build(marks, "row", marks.count())
-    hit = texts.mapInArrow(_flagged(may), f"doc_id {kind}, text string, row long, maybe boolean")
     known = marks.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "marks")
-    cut_docs = hit.where("maybe").join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("doc_id", "text", "marks")
-    clear = hit.where("not maybe").select("doc_id", "text", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
-    return clear.unionByName(cut_docs).mapInArrow(
-        _cut_out(window), f"doc_id {kind}, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>"
-    )
+    maybe = texts.mapInArrow(_maybe(may), texts.schema)
+    cut_docs = maybe.join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("doc_id", "text", "marks")
+    result = f"doc_id {kind}, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>"
+    return texts.mapInArrow(_cut_out(window, may), result).unionByName(cut_docs.mapInArrow(_cut_out(window), result))
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

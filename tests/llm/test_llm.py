@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -320,6 +321,24 @@ def test_substring_dedup_repeated_ids(spark):
     assert got == Counter((i, *w) for (i, _), w in zip(rows, sub.brute_force([t for _, t in rows])))
 
 
+def test_substring_dedup_small_slices(spark):
+    """No task holds two Python workers at once, and the last step holds ``CHUNK`` texts."""
+    texts = [" ".join(f"{i % 7}-{j}" for j in range(40)) for i in range(20)]
+    df = sub.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+    def chained(plan, below_python):
+        name = plan.nodeName()
+        if name == "MapInArrow" and below_python:
+            return True
+        python = name == "MapInArrow" or below_python and name != "Join"
+        return any(chained(plan.children().apply(i), python) for i in range(plan.children().size()))
+
+    assert not chained(df._jdf.queryExecution().optimizedPlan(), False)
+    assert sorted((r.n_words, r.n_removed) for r in df.collect()) == [(40, 40)] * 20
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2500)), "text": ["a b"] * 2500, "marks": pa.nulls(2500, pa.list_(pa.struct([("first", pa.int32()), ("mask", pa.int64())])))})
+    assert [b.num_rows for b in sub._cut_out(35)(iter([batch]))] == [1000, 1000, 500]
+
+
 def test_substring_dedup_blocks(spark, monkeypatch):
     a = " ".join(vocabulary(3000, 1))
     hashes = sub.WordHashes().of(sub.split(a.encode()))
